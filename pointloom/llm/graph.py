@@ -1,0 +1,27 @@
+"""Connected components by rounds of neighbour minima with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, comp) of every node of an undirected edge list; comp is the
+    smallest node of the component.
+
+    Each round takes the smallest label among a node and its neighbours, then
+    follows that label one step, so chains shorten by doubling; every round is
+    written to the shared folder. The loop ends when no label changes.
+    """
+    both = stored(edges.select(F.col(a).alias("node"), F.col(b).alias("peer")).union(edges.select(F.col(b), F.col(a))).distinct(), "edges")
+    label = stored(both.groupBy("node").agg(F.least(F.min("peer"), F.first("node")).alias("comp")), "labels")
+    while True:
+        near = both.join(label.select(F.col("node").alias("peer"), F.col("comp").alias("seen")), "peer").groupBy("node").agg(F.min("seen").alias("seen"))
+        best = label.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "seen").alias("comp"))
+        jump = label.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+        label = stored(best.join(jump, "comp", "left").select("node", "old", F.coalesce("up", "comp").alias("comp")), "labels")
+        if label.where("old <> comp").isEmpty():
+            return label.select("node", "comp")
