@@ -132,7 +132,8 @@ def candidate_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 )
 
     asked = wanted.groupBy("doc_id").agg(F.collect_set("lh").alias("asked"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(asked, F.col("id").eqNullSafe(F.col("doc_id"))).select("text", "asked")
+    # a sort-merge join at every size: the lines sought grow with the corpus
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id"))).select("text", "asked")
     return rows.mapInArrow(run, "lh bigint, n int, line string, whole bigint, variants array<bigint>").groupBy("lh").agg(*[F.first(c).alias(c) for c in ("n", "line", "whole", "variants")])
 
 
