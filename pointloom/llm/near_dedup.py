@@ -32,8 +32,9 @@ from .graph import components
 SHINGLE, THRESHOLD = 3, 0.5
 BANDS, ROWS = 32, 3
 BASE, RATE, TOP = 1.02, 20.0, 4094
-#: A candidate goes to verification if its estimate is at least THRESHOLD less this.
-MARGIN = 0.2
+#: A candidate goes to verification if its estimate is at least THRESHOLD less
+#: this, three standard deviations of the estimate.
+MARGIN = 0.15
 
 
 def _salts(m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,6 +169,53 @@ def exact_jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
+def across(members: DataFrame, least: float) -> DataFrame:
+    """Pairs (a < b) of members (bucket, key, comp, sk) of one bucket and
+    different components whose estimated similarity is at least `least`. The
+    members travel once per bucket; the pairs are formed where they meet."""
+
+    def judge(rows: pa.Table) -> Iterator[tuple[list, list]]:
+        keys, comp = rows.column("key").to_pylist(), rows.column("comp").to_pylist()
+        k = np.frombuffer(b"".join(rows.column("sk").to_pylist()), np.uint16).reshape(len(keys), -1)
+        _, group = np.unique(np.array([c.hex() for c in comp]), return_inverse=True)
+        for i in range(len(keys) - 1):
+            other = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
+            # equal registers are the larger part of the likelihood; a loose bound on them first
+            other = other[(k[other] == k[i]).mean(1) >= least - 0.05]
+            if len(other):
+                other = other[joint_jaccard(np.broadcast_to(k[i], (len(other), k.shape[1])), k[other]) >= least]
+            if len(other):
+                yield [min(keys[i], keys[j]) for j in other], [max(keys[i], keys[j]) for j in other]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            b = np.asarray(table.column("bucket"))
+            cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
+            a, c = [], []
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                for x, y in judge(table.slice(lo, hi - lo)):
+                    a += x
+                    c += y
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            b = np.asarray(held.column("bucket"))
+            if not len(b):
+                continue
+            last = int(np.flatnonzero(b != b[-1])[-1]) + 1 if (b != b[-1]).any() else 0
+            if last:
+                yield from emit(held.slice(0, last))
+                held = held.slice(last).combine_chunks()
+        if held is not None and held.num_rows:
+            yield from emit(held)
+
+    return members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a binary, b binary")
+
+
 def content_key(text: str) -> Column:
     return F.unhex(F.md5(text))
 
@@ -178,29 +226,27 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     rows = docs.where(F.col(text_col).isNotNull()).select(content_key(text_col).alias("key"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     seen = stored(sketched(rows.select("key", "text")).groupBy("key").agg(F.first("sk").alias("sk"), F.first("bands").alias("bands")), "sketches")
     crowd = Window.partitionBy("bucket")
-    # F.min of a salted hash: another hub in each band
-    member = seen.select(F.posexplode("bands").alias("band", "bucket"), "key")
-    hub = member.withColumn("hub", F.min_by("key", F.xxhash64("key", "band")).over(crowd)).withColumn("n", F.count(F.lit(1)).over(crowd))
+    # one order for all bands, so that a group mostly has one hub
+    member = seen.select(F.explode("bands").alias("bucket"), "key")
+    hub = member.withColumn("hub", F.min_by("key", F.xxhash64("key")).over(crowd)).withColumn("n", F.count(F.lit(1)).over(crowd))
     shared = stored(hub.where("n > 1").select("bucket", "key", "hub"), "buckets")
+    # joins against texts are sort-merge joins at every size: what is sought grows with the corpus
+    wanted = shared.select("key").distinct()
+    text = stored(rows.join(wanted.hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
+    x, y = (text.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
 
-    def judged(pairs: DataFrame) -> DataFrame:
-        """Pairs (a < b) with the exact similarity of those that may reach it."""
-        left, right = (seen.select(F.col("key").alias(x), F.col("sk").alias(f"sk_{x}")) for x in "ab")
-        likely = stored(pairs.join(left, "a").join(right, "b").where(estimated("sk_a", "sk_b") >= threshold - MARGIN).select("a", "b"), "likely")
-        wanted = likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct()
-        text = stored(rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
-        x, y = (text.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        return stored(likely.join(x, "a").join(y, "b").select("a", "b", exact_jaccard("text_a", "text_b").alias("jaccard")), "judged")
+    def verified(likely: DataFrame) -> DataFrame:
+        """Pairs (a, b) that reach the threshold."""
+        return likely.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(exact_jaccard("text_a", "text_b") >= threshold).select("a", "b")
 
+    left, right = (seen.select(F.col("key").alias(c), F.col("sk").alias(f"sk_{c}")) for c in "ab")
     stars = shared.where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-    first = judged(stars)
-    sure = first.where(F.col("jaccard") >= threshold).select("a", "b")
+    sure = stored(verified(stars.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(estimated("sk_a", "sk_b") >= threshold - MARGIN).select("a", "b")), "stars")
     label = components(sure)
     placed = shared.join(label, shared.key == label.node, "left").select("bucket", "key", F.coalesce("comp", "key").alias("comp"))
     mixed = placed.withColumn("lo", F.min("comp").over(crowd)).withColumn("hi", F.max("comp").over(crowd)).where("lo <> hi").select("bucket", "key", "comp")
-    x, y = (mixed.select("bucket", F.col("key").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
-    cross = x.join(y, "bucket").where("a < b and comp_a <> comp_b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = judged(cross).where(F.col("jaccard") >= threshold).select("a", "b")
+    cross = across(mixed.join(seen.select("key", "sk"), "key").select("bucket", "key", "comp", "sk"), threshold - MARGIN).distinct()
+    more = stored(verified(cross), "cross")
     if not more.isEmpty():
         label = components(sure.union(more))
     lowest = rows.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
