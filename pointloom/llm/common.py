@@ -41,10 +41,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def buckets(df: DataFrame, bytes_each: int = 8 << 20) -> int:
-    """Hash ranges to spread df's keys over: grows with the planner's size
-    estimate, so that a range fits a task at any input size."""
+    """Hash ranges to spread df's keys over: grows with the size of the tables
+    df reads, so that a range fits a task at any input size. The sum over the
+    scans is used, as the planner's own estimate multiplies at every join."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return max(n, min(size // bytes_each, 1 << 20), 1)
 
 

@@ -26,15 +26,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, arrow_text, mix, pieces, stored
+from .common import Words, arrow_text, buckets, mix, pieces, stored
 from .graph import components
 
 SHINGLE, THRESHOLD = 3, 0.5
 BANDS, ROWS = 32, 3
 BASE, RATE, TOP = 1.02, 20.0, 4094
 #: A candidate goes to verification if its estimate is at least THRESHOLD less
-#: this, three standard deviations of the estimate.
-MARGIN = 0.15
+#: this, two standard deviations of the estimate.
+MARGIN = 0.1
 
 
 def _salts(m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,32 +174,36 @@ def across(members: DataFrame, least: float) -> DataFrame:
     different components whose estimated similarity is at least `least`. The
     members travel once per bucket; the pairs are formed where they meet."""
 
-    def judge(rows: pa.Table) -> Iterator[tuple[list, list]]:
-        keys, comp = rows.column("key").to_pylist(), rows.column("comp").to_pylist()
-        k = np.frombuffer(b"".join(rows.column("sk").to_pylist()), np.uint16).reshape(len(keys), -1)
-        _, group = np.unique(np.array([c.hex() for c in comp]), return_inverse=True)
-        for i in range(len(keys) - 1):
-            other = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
-            # equal registers are the larger part of the likelihood; a loose bound on them first
-            other = other[(k[other] == k[i]).mean(1) >= least - 0.05]
-            if len(other):
-                other = other[joint_jaccard(np.broadcast_to(k[i], (len(other), k.shape[1])), k[other]) >= least]
-            if len(other):
-                yield [min(keys[i], keys[j]) for j in other], [max(keys[i], keys[j]) for j in other]
+    def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Pairs of whole buckets: a loose bound on equal registers, the larger
+        part of the likelihood, then the estimate for many pairs at a time."""
+        keys, bucket = table.column("key").to_pylist(), np.asarray(table.column("bucket"))
+        k = np.frombuffer(b"".join(table.column("sk").to_pylist()), np.uint16).reshape(len(keys), -1)
+        group = np.unique(np.array([c.hex() for c in table.column("comp").to_pylist()]), return_inverse=True)[1].ravel()
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        left, right, size = [], [], 0
+
+        def judged() -> pa.RecordBatch:
+            i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+            good = joint_jaccard(k[i], k[j]) >= least if len(i) else np.zeros(0, bool)
+            pairs = {(min(keys[x], keys[y]), max(keys[x], keys[y])) for x, y in zip(i[good].tolist(), j[good].tolist())}
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], ["a", "b"])
+
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            for i in range(lo, hi - 1):
+                j = np.flatnonzero(group[i + 1 : hi] != group[i]) + i + 1
+                j = j[(k[j] == k[i]).mean(1) >= least - 0.05]
+                if len(j):
+                    left.append(np.full(len(j), i))
+                    right.append(j)
+                    size += len(j)
+                if size >= 1 << 17:
+                    yield judged()
+                    left, right, size = [], [], 0
+        yield judged()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-
-        def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            b = np.asarray(table.column("bucket"))
-            cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
-            a, c = [], []
-            for lo, hi in zip(cut[:-1], cut[1:]):
-                for x, y in judge(table.slice(lo, hi - lo)):
-                    a += x
-                    c += y
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], ["a", "b"])
-
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
@@ -213,7 +217,8 @@ def across(members: DataFrame, least: float) -> DataFrame:
         if held is not None and held.num_rows:
             yield from emit(held)
 
-    return members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a binary, b binary")
+    # a number of its own: the rows are small, the work on them is not, so they must not be coalesced
+    return members.repartition(buckets(members), "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a binary, b binary")
 
 
 def content_key(text: str) -> Column:
