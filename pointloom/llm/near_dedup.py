@@ -296,3 +296,18 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return flag_near(docs).select("doc_id", "group_id", "group_size", "is_kept")
+
+
+#: Exact groups by comparing all pairs that share a shingle; the search above is
+#: approximate, so on other tables a few pairs at the threshold may differ.
+SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\x09-\\x0d ]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + {SHINGLE}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - {SHINGLE - 1}))) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+pairs AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE c >= {THRESHOLD} * (x.n + y.n - c)),
+links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node AND r.root < l.b),
+groups AS (SELECT node, min(root) AS group_id FROM reach GROUP BY node)
+SELECT node AS doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size, node = group_id AS is_kept FROM groups
+"""

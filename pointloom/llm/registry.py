@@ -16,7 +16,10 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_substring_dedup": substring_dedup.SQL,
     "op2_mixing": mixing.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op5_url_filter": url_filter.SQL,
+    "op6_near_dedup": near_dedup.SQL,
+    "op10_line_dedup": line_dedup.SQL,
 }

@@ -264,3 +264,12 @@ def repeated_spans(docs: DataFrame, block: int = BLOCK, min_words: int = MIN_WOR
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+SQL = f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(text, '[\\x09-\\x0d ]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+win AS (SELECT r, doc_id, unnest(range(0, len(w) - {MIN_WORDS - 1})) AS i, w FROM docs WHERE len(w) >= {MIN_WORDS}),
+hashed AS (SELECT r, doc_id, i, md5(array_to_string(w[i + 1 : i + {MIN_WORDS}], ' ')) AS h FROM win),
+again AS (SELECT r, doc_id, i, i - row_number() OVER (PARTITION BY r ORDER BY i) AS island FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM hashed) WHERE n > 1)
+SELECT doc_id, min(i)::INTEGER AS start_word, (max(i) - min(i) + {MIN_WORDS})::INTEGER AS n_words FROM again GROUP BY r, doc_id, island
+"""
