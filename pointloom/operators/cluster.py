@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
 from .filters import bounds
+from .ranking import numbered
 from .spatial import kth_distance, pairs_within
 
 
@@ -35,9 +36,8 @@ def dbscan(cloud: DataFrame, eps: float, min_points: int) -> DataFrame:
     core = stored(core, "core")
     linked = pairs.join(core.withColumnRenamed("pid", "a"), "a", "left_semi").join(core.withColumnRenamed("pid", "b"), "b", "left_semi")
     comp = components(linked)
-    # clusters, not points: their numbering needs one ordered pass
-    number = comp.select("comp").distinct().withColumn("label", (F.row_number().over(Window.orderBy("comp")) - 1).cast("int"))
-    labelled = stored(comp.join(F.broadcast(number), "comp").select(F.col("node").alias("b"), "label"), "labelled")
+    number = numbered(comp, "comp", "label").withColumn("label", F.col("label").cast("int"))
+    labelled = stored(comp.join(number, "comp").select(F.col("node").alias("b"), "label"), "labelled")
     near = pairs.join(labelled, "b").groupBy(F.col("a").alias("pid")).agg(F.min("label").alias("label"))
     own = labelled.select(F.col("b").alias("pid"), F.col("label").alias("own"))
     return cloud.join(near.join(own, "pid", "left").select("pid", F.coalesce("own", "label").alias("label")), "pid", "left").withColumn("label", F.coalesce("label", F.lit(-1))).select(*cloud.columns, "label")
@@ -67,9 +67,9 @@ def keep_central(labelled: DataFrame, keep_extra: int = 1, ref: str = "bbox", xy
     strict_keep_extra; where all is noise, the cloud is returned unchanged."""
     extra = keep_extra if strict_keep_extra else max(1, keep_extra)
     stats = cluster_stats(labelled, ref, xy_only)
-    central = stats.withColumn("at", F.row_number().over(Window.orderBy("d2", "label")))
-    kept = central.withColumn("size", F.row_number().over(Window.orderBy((F.col("at") == 1).cast("int"), F.col("n").desc(), F.col("label").desc()))).where((F.col("at") == 1) | (F.col("size") <= extra)).select("label")
-    return _or_all(labelled, kept)
+    central = stats.orderBy("d2", "label").limit(1).select("label")
+    others = stats.join(central, "label", "left_anti").orderBy(F.col("n").desc(), F.col("label").desc()).limit(extra).select("label")
+    return _or_all(labelled, central.union(others))
 
 
 def keep_largest(labelled: DataFrame) -> DataFrame:
@@ -81,6 +81,7 @@ def keep_largest(labelled: DataFrame) -> DataFrame:
 
 def _or_all(labelled: DataFrame, kept: DataFrame) -> DataFrame:
     none = labelled.where("label >= 0").limit(1).agg((F.count(F.lit(1)) == 0).alias("__none"))
+    # at most a handful of labels, by the limits above
     chosen = F.broadcast(kept.select("label", F.lit(True).alias("__kept")))
     return labelled.join(chosen, "label", "left").join(F.broadcast(none)).where("__kept or __none").select(labelled.columns)
 

@@ -125,7 +125,7 @@ def speedup(bench: DataFrame, base: str) -> DataFrame:
     """bench (method, variant, voxel_m, mean_ms, sd_ms) with updates per second
     and the speed-up over a base method at the same voxel size."""
     ref = bench.where(F.col("method") == base).select("voxel_m", F.col("mean_ms").alias("base_ms"))
-    return bench.join(F.broadcast(ref), "voxel_m", "left").withColumns({"per_s": 1000.0 / F.col("mean_ms"), "speedup": F.col("base_ms") / F.col("mean_ms")}).drop("base_ms")
+    return bench.join(ref, "voxel_m", "left").withColumns({"per_s": 1000.0 / F.col("mean_ms"), "speedup": F.col("base_ms") / F.col("mean_ms")}).drop("base_ms")
 
 
 def report(metrics: DataFrame, names: dict[str, str] = DISPLAY) -> DataFrame:

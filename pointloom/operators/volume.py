@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import grid_dims, voxel_index
 from ..storage import stored
+from .ranking import numbered
 
 INDEX = ("ix", "iy", "iz")
 MIN_POINTS = 50
@@ -184,20 +185,6 @@ def surface(grid: DataFrame, voxel: float, origin: tuple[float, float, float], l
     return mixed.mapInPandas(run, "tid string, corner int, edge string, x double, y double, z double")
 
 
-def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, name): distinct keys with consecutive numbers in their order. Sorted
-    ranges are counted apart; only one row per range meets in one task."""
-    keys = stored(df.select(key).distinct().sort(key).withColumn("__part", F.spark_partition_id()), "keys")
-    sizes = {r["__part"]: r["count"] for r in keys.groupBy("__part").count().collect()}
-    start, table = 0, {}
-    for part in sorted(sizes):
-        table[part] = start
-        start += sizes[part]
-    base = F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) if table else F.create_map().cast("map<int,int>")
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
-    return keys.select(key, (rank + base[F.col("__part")]).cast("long").alias(name))
-
-
 def mesh_of(soup: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices (vid, x, y, z) and faces (fid, i0, i1, i2) of surface()."""
     soup = stored(soup, "soup")

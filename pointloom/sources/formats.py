@@ -541,7 +541,7 @@ def write_stl(vertices: DataFrame, faces: DataFrame, path: str) -> None:
 def write_mesh_ply(vertices: DataFrame, faces: DataFrame, path: str) -> None:
     """A mesh as binary PLY: vertices in order of vid, faces re-indexed by it.
     The two bodies are written in parallel and joined under one header."""
-    from ..operators.volume import numbered
+    from ..operators.ranking import numbered
 
     spark = vertices.sparkSession
     register(spark)
