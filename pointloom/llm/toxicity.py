@@ -20,7 +20,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,6 +157,16 @@ def lexicon(stems: list[str]) -> tuple[dict[str, str], re.Pattern]:
     return words, re.compile(rf"\b(?:{'|'.join(parts)})", re.IGNORECASE)
 
 
+def sieve(stems: list[str]) -> str:
+    """A pattern for Arrow's linear-time matcher that every text with a lexicon
+    word matches. Its word borders know ASCII letters only, so it lets a few
+    more through; the lexicon's own pattern decides on these."""
+    words = sorted({*INSULTS, *THREATS, *stems})
+    latin = "|".join(re.escape(w) for w in words if w[0].isascii())
+    other = "".join("|" + re.escape(w) for w in words if not w[0].isascii())
+    return f"(?i)(?:(?:^|[^a-zA-Z])(?:{latin}){other})"
+
+
 _CLAUSE = re.compile(r"[.!?;:\n\r]+|,\s")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”«»]")
 
@@ -240,11 +252,15 @@ def toxicity(docs: DataFrame, stems: list[str], threshold: float = THRESHOLD) ->
         machine = grammar()
         words, pattern = lexicon(stems)
         start = tuple(stems)
+        coarse = sieve(stems)
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                out.append(score_text(text, machine, words, start) if text and pattern.search(text) else (0.0, 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array([c for _, c in out], pa.int32()), pa.array([s >= threshold for s, _ in out], pa.bool_())], ["doc_id", "score", "clauses", "is_toxic"])
+            text = batch.column(1)
+            at = np.flatnonzero(np.asarray(pc.fill_null(pc.match_substring_regex(text, coarse), False), bool))
+            score, clauses = np.zeros(len(text)), np.zeros(len(text), np.int32)
+            for i, t in zip(at.tolist(), text.take(pa.array(at)).to_pylist()):
+                if pattern.search(t):
+                    score[i], clauses[i] = score_text(t, machine, words, start)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(clauses), pa.array(score >= threshold)], ["doc_id", "score", "clauses", "is_toxic"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, score double, clauses int, is_toxic boolean")
 

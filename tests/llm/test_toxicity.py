@@ -1,6 +1,9 @@
 import random
 
-from pointloom.llm.toxicity import THRESHOLD, fitted_stems, grammar, lexicon, score_text, toxicity
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from pointloom.llm.toxicity import THRESHOLD, fitted_stems, grammar, lexicon, score_text, sieve, toxicity
 
 from .helpers import ODD, clashing, frame, words
 
@@ -23,6 +26,15 @@ def test_clauses():
     assert score("idiot. moron. scum.") == (3.0, 3)
 
 
+def test_sieve_lets_every_hit_through():
+    stems = ["grobl", "éta", "íie"]
+    _, pattern = lexicon(stems)
+    texts = ["an idiot", "IDIOT", "x.Moron!", "Grobling", "a éTAnt", "Étalon", "ÍIEs", "\nscum", "é idiots", "1 trash", "_loser", "ñidiot", "groblé", "lésions", "", "plain"]
+    hit = pc.match_substring_regex(pa.array(texts), sieve(stems)).to_pylist()
+    assert all(h for t, h in zip(texts, hit) if pattern.search(t))
+    assert not hit[-1] and sum(map(bool, map(pattern.search, texts))) >= 9
+
+
 def test_negation_ends_with_its_clause():
     assert score("it is not so. idiot")[0] >= THRESHOLD
     assert score("not a b c d idiot")[0] >= THRESHOLD
