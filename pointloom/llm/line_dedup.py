@@ -208,12 +208,12 @@ SQL = f"""
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(l, '[\\x09-\\x0d ]+'), lambda x: x <> '') AS w FROM (SELECT doc_id, unnest(a) AS l, unnest(range(len(a)))::INTEGER AS line_no FROM split)),
 long AS (SELECT doc_id, line_no, w, len(w) AS n, array_to_string(w, ' ') AS line FROM lines WHERE len(w) >= {MIN_LINE}),
-firsts AS (SELECT line, any_value(w) AS w, any_value(n) AS n, min(struct_pack(d := doc_id, l := line_no)) AS at FROM long GROUP BY line),
-made AS (SELECT line, n, at, i, array_to_string(list_concat(w[1 : i - 1], w[i + 1 : n]), ' ') AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM firsts WHERE n >= {MIN_NEAR})),
-met AS (SELECT line, at, min(at) OVER (PARTITION BY v, n, i) AS other FROM made
-        UNION ALL SELECT m.line, m.at, f.at FROM made m JOIN firsts f ON f.line = m.v AND f.n >= {MIN_NEAR}
-        UNION ALL SELECT f.line, f.at, m.at FROM made m JOIN firsts f ON f.line = m.v AND f.n >= {MIN_NEAR}),
-near AS (SELECT line, min(other) AS near FROM met WHERE other < at GROUP BY line)
-SELECT doc_id, line_no, coalesce(near, at).d AS keep_doc_id, coalesce(near, at).l AS keep_line_no, CASE WHEN near IS NULL THEN 'exact' ELSE 'near' END AS kind
-FROM long JOIN firsts USING (line) LEFT JOIN near USING (line) WHERE near IS NOT NULL OR at <> struct_pack(d := doc_id, l := line_no)
+firsts AS (SELECT line, any_value(w) AS w, any_value(n) AS n, min(struct_pack(d := doc_id, l := line_no)) AS spot FROM long GROUP BY line),
+made AS (SELECT line, n, spot, i, array_to_string(list_concat(w[1 : i - 1], w[i + 1 : n]), ' ') AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM firsts WHERE n >= {MIN_NEAR})),
+met AS (SELECT line, spot, min(spot) OVER (PARTITION BY v, n, i) AS other FROM made
+        UNION ALL SELECT m.line, m.spot, f.spot FROM made m JOIN firsts f ON f.line = m.v AND f.n >= {MIN_NEAR}
+        UNION ALL SELECT f.line, f.spot, m.spot FROM made m JOIN firsts f ON f.line = m.v AND f.n >= {MIN_NEAR}),
+near AS (SELECT line, min(other) AS near FROM met WHERE other < spot GROUP BY line)
+SELECT doc_id, line_no, coalesce(near, spot).d AS keep_doc_id, coalesce(near, spot).l AS keep_line_no, CASE WHEN near IS NULL THEN 'exact' ELSE 'near' END AS kind
+FROM long JOIN firsts USING (line) LEFT JOIN near USING (line) WHERE near IS NOT NULL OR spot <> struct_pack(d := doc_id, l := line_no)
 """
