@@ -133,7 +133,7 @@ def _case(inside: int) -> list[tuple[int, int, int]]:
                     j += 1
                 enter = _EDGE[tuple(sorted((ring[i - 1], ring[i])))]
                 leave = _EDGE[tuple(sorted((ring[j % 4], ring[(j + 1) % 4])))]
-                follow[leave] = enter
+                follow[enter] = leave
     tris, todo = [], set(follow)
     while todo:
         start = min(todo)
