@@ -22,6 +22,8 @@ AXES = ("x", "y", "z")
 CELL = ("cx", "cy", "cz")
 #: Guards cell borders against rounding.
 SLACK = 1 + 1e-9
+#: Searches of no more pairs than this compare all of them instead of growing cells.
+FEW_PAIRS = 4_000_000
 
 
 def d2(a: str = "a", b: str = "b") -> Column:
@@ -111,16 +113,19 @@ def knn(query: DataFrame, target: DataFrame, k: int) -> DataFrame:
 
     A row is settled when its k-th neighbour is no farther than a cell; the
     others go on with cells of twice the size, at most until a cell spans both
-    clouds. Settled rows are written out round by round.
+    clouds, or at once with such a cell where few pairs remain. Settled rows are
+    written out round by round.
     """
     size, diagonal, n = _first_cell(target, k)
     if n == 0:
         return query.sparkSession.createDataFrame([], "pid bigint, rank int, nid bigint, d2 double")
     want = min(k, n)
-    ends = query.unionByName(target.select(query.columns)).agg(*[f(c) for c in AXES for f in (F.min, F.max)]).first()
+    query = query.select("pid", *AXES)
+    ends = query.unionByName(target.select(query.columns)).agg(*[f(c) for c in AXES for f in (F.min, F.max)], F.count(F.lit(1))).first()
     reach = math.sqrt(sum((ends[2 * i + 1] - ends[2 * i]) ** 2 for i in range(3))) if ends[0] is not None else 0.0
     order = Window.partitionBy("a_pid").orderBy("d2", "b_pid")
-    query = query.select("pid", *AXES)
+    if (ends[6] - n) * n <= FEW_PAIRS:
+        size = max(size, reach)
     done, left = [], query
     while True:
         last = size >= reach
@@ -134,9 +139,10 @@ def knn(query: DataFrame, target: DataFrame, k: int) -> DataFrame:
         settled = ranked.where((F.col("rank") == want) & (F.col("d2") <= size * size)).select("a_pid")
         done.append(ranked.join(settled, "a_pid", "left_semi"))
         left = left.join(settled, left.pid == settled.a_pid, "left_anti")
-        if left.isEmpty():
+        rest = left.count()
+        if not rest:
             break
-        size *= 2
+        size = max(2 * size, reach) if rest * n <= FEW_PAIRS else 2 * size
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

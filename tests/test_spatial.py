@@ -6,16 +6,20 @@ from pointloom.operators import filters, metrics, spatial
 from .clouds import cloud, distances, pids, points, random_points
 
 
+@pytest.mark.parametrize("few", [0, spatial.FEW_PAIRS])
 @pytest.mark.parametrize("clumps", [False, True])
-def test_nearest_like_brute_force(spark, clumps):
+def test_nearest_like_brute_force(spark, monkeypatch, clumps, few):
+    monkeypatch.setattr(spatial, "FEW_PAIRS", few)
     a, b = random_points(120, 1, clumps), random_points(90, 2, clumps) * 3
     d = distances(a, b)
     got = spatial.nearest(cloud(spark, a), cloud(spark, b)).toPandas().sort_values("pid")
     assert np.allclose(got.dist, d.min(1)) and (got.nid == d.argmin(1)).all()
 
 
+@pytest.mark.parametrize("few", [0, 1000, spatial.FEW_PAIRS])
 @pytest.mark.parametrize("k", [1, 4, 200])
-def test_knn_like_brute_force(spark, k):
+def test_knn_like_brute_force(spark, monkeypatch, k, few):
+    monkeypatch.setattr(spatial, "FEW_PAIRS", few)
     a, b = random_points(80, 3), random_points(60, 4, True)
     d = distances(a, b)
     got = spatial.knn(cloud(spark, a), cloud(spark, b), k).toPandas()
