@@ -1,21 +1,31 @@
 """Quality rules with risk-controlled thresholds (operator 7).
 
-Each rule rejects documents whose feature is above a cutoff. For every stratum
-(language) and rule, labelled holdout documents decide the cutoff: candidates
-are tested from the loosest to the tightest, each by the exact
-(Clopper-Pearson) upper bound on the share of good documents it would reject;
-the sequence stops at the first that cannot be shown to be within the allowed
-risk. Of the cutoffs shown to be safe the loosest is used that still rejects as
-many documents labelled bad as the tightest. Fixed-sequence testing needs no correction inside a sequence; across
-rules and strata the error level is divided by their number (Bonferroni), so
-with probability 1 - delta no stratum loses more than `risk` of its good
-documents over all rules together. A stratum whose holdout is too small to
-show that is left alone.
+Each rule rejects documents whose feature is above a cutoff; a document goes if
+any rule rejects it. For every stratum (language) labelled holdout documents
+decide the cutoffs of all rules together. The documents labelled bad and a
+tenth of those labelled good give one sequence of ever tighter cutoffs: each
+step tightens a rule to the loosest cutoff that gains a bad document, first the
+rule that costs least of these good documents, of several the one with most bad
+documents still to gain. (One rule alone has no order to find and needs no
+tenth.) The other good documents, which had no part in the order, test it step
+by step with the exact (Clopper-Pearson) upper bound on the share of good
+documents that the union of the rules would reject; the sequence stops at the
+first step that cannot be shown to be within the allowed risk. Fixed-sequence testing needs no
+correction inside a sequence; across strata the error level is divided by
+their number (Bonferroni), so with probability 1 - delta no tested stratum
+loses more than `risk` of its good documents.
+
+A stratum with too few good documents to show that for any cutoff, or with no
+labels at all, uses cutoffs certified on all labelled documents together, as
+far as no more than `risk` of its own good ones go. These hold for the mix of
+languages, not for such a stratum by itself.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter, defaultdict
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +42,8 @@ GRID = {
     "long_word_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3],
 }
 RISK, DELTA = 0.02, 0.05
+#: One of so many good documents, by hash, is for the order of the rules.
+DESIGN = 10
 
 
 def upper_bound(k: int, n: int, error: float) -> float:
@@ -54,44 +66,95 @@ def upper_bound(k: int, n: int, error: float) -> float:
     return high
 
 
-def calibrate(scored: DataFrame, labels: DataFrame, stratum: str = "lang", grid: dict = GRID, risk: float = RISK, delta: float = DELTA) -> dict[str, dict[str, float]]:
+class Cutoffs(dict):
+    """Cutoffs by stratum and rule; `other` has those of strata without labels."""
+
+    other: dict[str, float] = {}
+
+
+def sequence(bad: Counter, design: Counter, lengths: list[int]) -> list[tuple[int, ...]]:
+    """Ever tighter cutoffs, from documents labelled bad and the good ones set
+    apart. Both are counted by the number of cutoffs that each rule's feature
+    exceeds; a step has the index of each rule's cutoff in ascending order, its
+    length for none."""
+    steps, now = [], tuple(lengths)
+    while left := {v: n for v, n in bad.items() if any(v) and not rejects(now, v)}:
+        choice = []
+        for r in range(len(now)):
+            if gain := sum(n for v, n in left.items() if v[r]):
+                step = (*now[:r], max(v[r] for v in left) - 1, *now[r + 1 :])
+                choice.append((sum(n for v, n in design.items() if rejects(step, v)), -gain, r, step))
+        now = min(choice)[-1]
+        steps.append(now)
+    return steps
+
+
+def rejects(step: Sequence[int], above: tuple[int, ...]) -> bool:
+    return any(a > i for a, i in zip(above, step))
+
+
+def certified(steps: list[tuple[int, ...]], good: Counter, safe: Callable[[int, int], bool]) -> tuple[int, ...] | None:
+    """The last step before the first that is not safe(rejected, all)."""
+    found, n = None, sum(good.values())
+    for step in steps:
+        if not safe(sum(m for v, m in good.items() if rejects(step, v)), n):
+            break
+        found = step
+    return found
+
+
+def calibrate(scored: DataFrame, labels: DataFrame, stratum: str = "lang", grid: dict = GRID, risk: float = RISK, delta: float = DELTA) -> Cutoffs:
     """Cutoffs by stratum and rule, from the labelled rows of `scored`
     (doc_id, stratum, struct f). A document labelled more than once counts as
-    good if any label says so; null ids and labels are ignored."""
+    good if any label says so; null ids and labels are ignored. A stratum
+    without documents labelled bad tests the sequence of all strata's."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("__good"))
     held = scored.where("doc_id is not null").join(known, "doc_id")
-    # how many cutoffs of each rule a document exceeds; one small row per (stratum, rule, number)
-    level = F.array(*[F.struct(F.lit(r).alias("rule"), sum(((F.col(f"f.{r}") > c).cast("int") for c in sorted(cuts)), F.lit(0)).alias("above")) for r, cuts in grid.items()])
-    counts = held.select(F.coalesce(stratum, F.lit("")).alias("s"), (F.col("__good") == 1).alias("good"), F.explode(level).alias("x")).groupBy("s", "good", "x.rule", "x.above").count().collect()
-    strata: dict[str, dict[str, dict[bool, dict[int, int]]]] = {}
-    for s, good, rule, above, n in counts:
-        strata.setdefault(s, {}).setdefault(rule, {True: {}, False: {}})[good][above] = n
-    found: dict[str, dict[str, float]] = {}
-    tests = max(1, len(strata) * len(grid))
-    for s, rules in strata.items():
-        for rule, by in rules.items():
-            n, cuts, safe = sum(by[True].values()), sorted(grid[rule]), []
-            for i in range(len(cuts) - 1, -1, -1):
-                wrong = sum(m for above, m in by[True].items() if above > i)
-                if upper_bound(wrong, n, delta / tests) > risk / len(grid):
-                    break
-                safe.append((sum(m for above, m in by[False].items() if above > i), cuts[i]))
-            if safe and safe[-1][0]:
-                found.setdefault(s, {})[rule] = next(c for hit, c in safe if hit == safe[-1][0])
+    key = F.coalesce(stratum, F.lit(""))
+    # how many cutoffs of each rule a document exceeds; one row per combination that occurs
+    above = F.array(*[sum(((F.col(f"f.{r}") > c).cast("int") for c in cuts), F.lit(0)) for r, cuts in grid.items()])
+    apart = F.pmod(F.xxhash64("doc_id"), F.lit(DESIGN)) == 0 if len(grid) > 1 else F.lit(False)
+    role = F.when(F.col("__good") != 1, "bad").when(apart, "design").otherwise("good")
+    counts = held.select(key.alias("s"), role.alias("role"), above.alias("above")).groupBy("s", "role", "above").count().collect()
+    strata: dict[str, dict[str, Counter]] = {}
+    both: dict[str, Counter] = defaultdict(Counter)
+    for s, kind, v, n in counts:
+        strata.setdefault(s, defaultdict(Counter))[kind][tuple(v)] += n
+        both[kind][tuple(v)] += n
+    found, lengths = Cutoffs(), [len(cuts) for cuts in grid.values()]
+    if not strata:
+        return found
+    # the pooled test takes the place of a small stratum's own, or is one more
+    tests = len(strata) + (not scored.where(~key.isin(list(strata))).isEmpty())
+    safe = lambda wrong, n: upper_bound(wrong, n, delta / tests) <= risk
+    named = lambda step: {r: sorted(cuts)[i] for (r, cuts), i in zip(grid.items(), step or lengths) if i < len(cuts)}
+    general = sequence(both["bad"], both["design"], lengths)
+    pooled = certified(general, both["good"], safe)
+    upto = general[: general.index(pooled) + 1] if pooled else []
+    found.other = named(pooled)
+    for s, by in strata.items():
+        if safe(0, sum(by["good"].values())):
+            step = certified(sequence(by["bad"], by["design"], lengths) or general, by["good"], safe)
+        else:
+            step = certified(upto, by["good"] + by["design"], lambda wrong, n: wrong <= risk * n)
+        found[s] = named(step)
     return found
 
 
-def broken(cutoffs: dict[str, dict[str, float]], stratum: str, f: str) -> Column:
-    """The names of the rules that a row breaks, as an array."""
-    every = sorted({r for rules in cutoffs.values() for r in rules})
+def broken(cutoffs: Cutoffs, stratum: str, f: str) -> Column:
+    """The names of the rules that a row breaks, as an array. Strata that the
+    labels have but the cutoffs don't are kept whole; see `Cutoffs`."""
+    every = sorted({r for rules in [*cutoffs.values(), cutoffs.other] for r in rules})
     out = []
     for rule in every:
-        known = F.create_map(*[F.lit(x) for s, rules in cutoffs.items() if rule in rules for x in (s, float(rules[rule]))])
-        out.append(F.when(F.col(f"{f}.{rule}") > known[F.coalesce(F.col(stratum), F.lit(""))], F.lit(rule)))
+        known = F.create_map(*[F.lit(x) for s, rules in cutoffs.items() for x in (s, float(rules.get(rule, math.inf)))]) if cutoffs else None
+        other = F.lit(float(cutoffs.other.get(rule, math.inf)))
+        own = F.coalesce(known[F.coalesce(F.col(stratum), F.lit(""))], other) if cutoffs else other
+        out.append(F.when(F.col(f"{f}.{rule}") > own, F.lit(rule)))
     return F.array_compact(F.array(*out)) if out else F.array().cast("array<string>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, **options) -> tuple[DataFrame, dict]:
+def fit(docs: DataFrame, labels: DataFrame, **options) -> tuple[DataFrame, Cutoffs]:
     """Features of all documents (stored), and the cutoffs."""
     scored = stored(docs.select("doc_id", "lang", features().alias("f")), "features")
     return scored, calibrate(scored, labels, **options)
@@ -101,7 +164,8 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, **options) -> DataFrame
     """(doc_id, lang, broken, is_kept) of every row of docs.
 
     Texts that are null, empty or blank have all features zero and are kept
-    (no rule is broken); so is any row whose stratum has no certified cutoff.
+    (no rule is broken); so is any row whose stratum has no certified cutoff,
+    neither its own nor a pooled one.
     A null language is a stratum of its own. Repeated rows get equal verdicts.
     """
     scored, cutoffs = fit(docs, labels, **options)

@@ -1,7 +1,8 @@
 import math
 import random
+from collections import Counter
 
-from pointloom.llm.quality_rules import calibrate, fit, quality_filter, quality_verdicts, upper_bound
+from pointloom.llm.quality_rules import calibrate, certified, fit, quality_filter, quality_verdicts, sequence, upper_bound
 
 from .helpers import ODD, clashing, frame, words
 
@@ -77,3 +78,42 @@ def test_odd_rows(spark):
     assert quality_filter(docs.limit(0), lab).count() == 0
     assert quality_filter(docs, lab.limit(0)).count() == docs.count()
     assert calibrate(fit(docs.limit(0), lab)[0], lab) == {}
+
+
+def test_union_certified_at_full_risk(spark):
+    # about 250 good documents of a language are enough for all five rules together
+    rows, labels = labelled(860)
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    kept = {r.doc_id: r.is_kept for r in quality_verdicts(frame(spark, rows), lab).collect()}
+    for lang in ("en", "xx"):
+        ids = [(i, q) for (i, _, s, _), (_, q, _) in zip(rows, labels) if s == lang]
+        assert 200 < sum(q for _, q in ids)
+        assert not any(kept[i] for i, q in ids if not q) and sum(kept[i] for i, q in ids if q) >= 0.98 * sum(q for _, q in ids)
+
+
+def test_small_and_unlabelled_strata_use_the_pool(spark):
+    rows, labels = labelled(3000)
+    few = [(50_000 + i, t, "yy", s) for i, t, _, s in rows[:40]]
+    none = [(60_000 + i, t, "zz", s) for i, t, _, s in rows[:40]]
+    odd = [(70_000 + i, t.replace("w", "w####") if i % 8 else t, "qq", s) for i, t, _, s in rows[:16]]
+    more = [(50_000 + i, q, t) for i, q, t in labels[:40]] + [(70_000 + i, q, t) for i, q, t in labels[:16]]
+    docs, lab = frame(spark, rows + few + none + odd), spark.createDataFrame(labels + more, "doc_id bigint, quality int, toxic int")
+    scored, cut = fit(docs, lab)
+    assert cut.other and cut["yy"] == cut.other and "zz" not in cut
+    kept = {r.doc_id: r.is_kept for r in quality_verdicts(docs, lab).collect()}
+    for base in (50_000, 60_000):
+        assert [kept[base + i] for i in range(40)] == [i % 8 > 0 for i in range(40)]
+    # its own good documents speak against the pooled symbol cutoff
+    assert all(kept[70_000 + i] for i in range(16) if i % 8)
+
+
+def test_sequence_by_hand():
+    # rule 0 has more to gain first; a document caught by one rule is no gain of another
+    bad = Counter({(2, 0): 5, (1, 0): 1, (2, 1): 2, (0, 1): 3, (0, 0): 4})
+    steps = sequence(bad, Counter({(0, 0): 9}), [2, 2])
+    assert steps == [(1, 2), (1, 0), (0, 0)]
+    # where it costs good documents, the other rule comes first
+    assert sequence(bad, Counter({(2, 0): 1}), [2, 2]) == [(2, 0), (1, 0), (0, 0)]
+    good = Counter({(0, 0): 90, (1, 0): 10})
+    assert certified(steps, good, lambda wrong, n: wrong <= 5) == (1, 0)
+    assert certified(steps, good, lambda wrong, n: False) is None
