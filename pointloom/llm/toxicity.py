@@ -7,8 +7,8 @@ phrase under reported speech - are composed into one machine, and every clause
 of a document is scored by the best path through it: a negated or reported
 insult weighs less than a plain one, one aimed at somebody weighs more.
 
-The insult lexicon is a seed of English words plus stems found from labelled
-documents: prefixes of words that occur in documents labelled toxic and
+The lexicon is a seed of English, German, French and Spanish words plus insult
+stems found from labelled documents: prefixes of words that occur in documents labelled toxic and
 (almost) never in others. At most SAMPLE labelled documents of either kind are
 read for it.
 """
@@ -29,7 +29,15 @@ from pyspark.sql import functions as F
 from .common import stored
 
 INSULTS = ["idiot", "moron", "stupid", "pathetic", "worthless", "disgusting", "loser", "scum", "clown", "trash", "imbecile", "dumbass", "asshole", "bastard", "retard", "degenerate", "vermin", "subhuman"]
+INSULTS += ["dummkopf", "trottel", "arschloch", "abschaum", "hurensohn", "vollidiot", "schwachkopf", "missgeburt", "ungeziefer", "untermensch"]
+INSULTS += ["imbécile", "crétin", "connard", "connasse", "salaud", "salope", "abruti", "enculé", "racaille", "ordure"]
+INSULTS += ["idiota", "imbécil", "estúpido", "estúpida", "gilipollas", "cabrón", "pendejo", "escoria", "asqueroso", "asquerosa"]
 THREATS = ["kill", "murder", "hurt", "destroy", "strangle", "stab", "shoot", "beat", "hunt", "burn"]
+THREATS += ["töten", "töte", "umbringen", "ermorden", "erschießen", "erstechen", "erwürgen", "verprügeln", "vernichten"]
+THREATS += ["tuer", "tuerai", "assassiner", "égorger", "étrangler", "poignarder", "frapper", "massacrer"]
+THREATS += ["matar", "mataré", "asesinar", "estrangular", "apuñalar", "golpear", "destruir", "quemar"]
+#: Targets that stand before the threat in German, French and Spanish, and Spanish ones at its end.
+OBJECTS, CLITICS = ["dich", "euch", "te", "os"], ("te", "os")
 TARGETS = ["you", "your", "you're", "youre", "he", "she", "they", "they're", "him", "her", "them", "everyone", "people", "these", "those", "du", "sie", "ihr", "tu", "vous", "il", "elle", "usted", "ustedes", "ellos"]
 NEGATIONS = ["not", "never", "no", "isn't", "aren't", "wasn't", "don't", "nicht", "kein", "keine", "pas", "jamais", "nunca", "ningún"]
 REPORTS = ["said", "says", "called", "calls", "quoted", "claimed", "claims", "wrote", "alleged", "sagte", "nannte", "a dit", "dijo", "llamó"]
@@ -84,7 +92,7 @@ class Machine:
         return max([w for s, w in live.items() if s in self.final], default=0.0)
 
 
-CLASSES = ["insult", "threat", "target", "negation", "report", "copula", "intensifier", "quote", "other"]
+CLASSES = ["insult", "threat", "target", "object", "negation", "report", "copula", "intensifier", "quote", "other"]
 
 
 def grammar(weights: dict[str, float] = WEIGHTS) -> Machine:
@@ -122,38 +130,40 @@ def grammar(weights: dict[str, float] = WEIGHTS) -> Machine:
                             w, na = w + weights["aim"], 0
                         elif w:
                             no = GAP
-                    elif c == "target":
+                    elif c in ("target", "object"):
                         na = GAP
                         if open_insult:
                             w, no, na = weights["aim"], 0, 0
                     out.append((c + mark, None, w, (na, no)))
             arcs[aimed, open_insult] = out
     phrases = Machine(arcs, (0, 0), set(arcs))
-    # threats: a threat word and then a target within GAP words
+    # threats: a threat word and then a target within GAP words, or an object first
     arcs = {}
     for left in range(GAP + 1):
-        out = []
-        for c in CLASSES:
-            for mark in ("", "!", "~", "!~"):
-                if mark and c not in ("insult", "threat"):
-                    continue
-                part = weights["negated"] * ("!" in mark) + weights["reported"] * ("~" in mark)
-                if c == "threat" and weights["threat"] + part >= weights["insult"]:
-                    out.append((c + mark, None, 0.0, GAP))
-                elif c == "target" and left:
-                    out.append((c + mark, None, weights["threat"], 0))
-                else:
-                    out.append((c + mark, None, 0.0, max(0, left - 1)))
-        arcs[left] = out
-    threats = Machine(arcs, 0, set(arcs))
+        for ahead in range(GAP + 1):
+            out = []
+            na, nl = max(0, ahead - 1), max(0, left - 1)
+            for c in CLASSES:
+                for mark in ("", "!", "~", "!~"):
+                    if mark and c not in ("insult", "threat"):
+                        continue
+                    part = weights["negated"] * ("!" in mark) + weights["reported"] * ("~" in mark)
+                    if c == "threat" and weights["threat"] + part >= weights["insult"]:
+                        out.append((c + mark, None, weights["threat"], (0, 0)) if ahead else (c + mark, None, 0.0, (GAP, 0)))
+                    elif c in ("target", "object") and left:
+                        out.append((c + mark, None, weights["threat"], (0, 0)))
+                    else:
+                        out.append((c + mark, None, 0.0, (nl, GAP if c == "object" else na)))
+            arcs[left, ahead] = out
+    threats = Machine(arcs, (0, 0), set(arcs))
     return context.compose(phrases).compose(threats)
 
 
 def lexicon(stems: list[str]) -> tuple[dict[str, str], re.Pattern]:
     """Classes by word, and the pattern that finds any insult or threat."""
-    words = {w: c for c, some in (("copula", COPULAS), ("intensifier", INTENSIFIERS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("threat", THREATS), ("insult", INSULTS)) for w in some}
+    words = {w: c for c, some in (("copula", COPULAS), ("intensifier", INTENSIFIERS), ("target", TARGETS), ("object", OBJECTS), ("negation", NEGATIONS), ("report", REPORTS), ("threat", THREATS), ("insult", INSULTS)) for w in some}
     english = "|".join(re.escape(w) for w in INSULTS + THREATS)
-    parts = [rf"(?:{english})s?\b"] + [re.escape(s) for s in sorted(stems)]
+    parts = [rf"(?:{english})(?:s|{'|'.join(CLITICS)})?\b"] + [re.escape(s) for s in sorted(stems)]
     return words, re.compile(rf"\b(?:{'|'.join(parts)})", re.IGNORECASE)
 
 
@@ -177,7 +187,15 @@ def score_text(text: str, machine: Machine, words: dict[str, str], stems: tuple[
     for clause in _CLAUSE.split(text):
         symbols, hot = [], False
         for w in _WORD.findall(clause.lower()):
-            c = words.get(w.replace("’", "'"))
+            w = w.replace("’", "'")
+            if w.startswith("t'") and w[2:] in words:
+                symbols.append("object")
+                w = w[2:]
+            c = words.get(w)
+            clitic = next((e for e in CLITICS if w.endswith(e) and words.get(w[: -len(e)]) == "threat"), "") if c is None else ""
+            if clitic:
+                symbols.append("threat")
+                c, hot = "target", True
             if c is None:
                 if w[:-1] in words and w[-1] == "s" and words[w[:-1]] in ("insult", "threat"):
                     c = words[w[:-1]]

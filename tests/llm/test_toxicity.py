@@ -87,3 +87,14 @@ def test_odd_rows(spark):
     assert toxicity(docs.limit(0), []).count() == 0
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert fitted_stems(docs, none) == []
+
+
+def test_seeds_and_threats_of_other_languages():
+    table, pattern = lexicon([])
+    toxic = ["du bist ein trottel", "quel connard", "eres un gilipollas", "ich werde dich töten", "je vais te tuer", "je vais t'étrangler", "voy a matarte", "te mataré", "TE MATARÉ"]
+    for text in toxic:
+        assert pattern.search(text) and score_text(text, grammar(), table, ())[0] >= THRESHOLD, text
+    assert all(pc.match_substring_regex(pa.array(toxic), sieve([])).to_pylist())
+    for text in ("tuer le temps", "nicht dich töten", "matar el proceso", "te dejo la matarteria", "dich mag ich"):
+        assert score(text)[0] < THRESHOLD, text
+    assert score("i see you kill a process")[0] == 0
