@@ -1,43 +1,15 @@
-"""Shared folder, sizing and the vectorised text kernels of this subpackage."""
+"""Sizing, column helpers and the vectorised text kernels of this subpackage."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import discard, stored
 
-# ---------------------------------------------------------------- storage
-
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session.
-
-    Only where it is unset (tests in one process) a folder of our own is made.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="pointloom-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        where = _own[0]
-    return where.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and a
-    lost executor costs nothing but a reread."""
-    path = f"{shared_dir(df.sparkSession)}/pointloom/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "stored"]
 
 
 def buckets(df: DataFrame, bytes_each: int = 8 << 20) -> int:
@@ -47,10 +19,24 @@ def buckets(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return max(n, min(size // bytes_each, 1 << 20), 1)
+    return max(n, size // bytes_each, 1)
+
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, for columns of our own beside it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        n = f"__{n}"
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
 
-# ---------------------------------------------------------------- columns
+
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def tokens(text: str | Column = "text") -> Column:
@@ -65,8 +51,6 @@ def unit_hash(key: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
 
 
-# ---------------------------------------------------------------- text kernels
-
 MASK = (1 << 64) - 1
 _ODD = 0x9E3779B97F4A7C15
 _INV = pow(_ODD, -1, 1 << 64)

@@ -59,6 +59,18 @@ def clashing(df):
     """Extra columns whose names operators use themselves."""
     from pyspark.sql import functions as F
 
-    for name in ("tokens", "topic", "weight", "p", "is_kept", "keep_id", "copies", "group_id", "group_size", "shard", "bin", "key", "n", "rk", "features", "f", "id", "line_no", "score"):
+    for name in NAMES:
         df = df.withColumn(name, F.lit("clash"))
     return df
+
+
+NAMES = ("tokens", "topic", "weight", "p", "is_kept", "keep_id", "copies", "group_id", "group_size", "shard", "bin", "key", "n", "rk", "features", "f", "id", "line_no", "score")
+NAMES += ("__fp", "__twice", "__key", "__f", "__topic", "__p", "__is_kept", "__keep_id", "a b.c")
+
+
+def untouched(before, after, count):
+    """Columns, types and the values of clashing columns are as given."""
+    assert after.schema == before.schema
+    rows = after.collect()
+    assert len(rows) == count
+    assert all(r[n] == "clash" for r in rows for n in NAMES)
