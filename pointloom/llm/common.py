@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,11 +17,17 @@ __all__ = ["discard", "stored"]
 def buckets(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     """Hash ranges to spread df's keys over: grows with the size of the tables
     df reads, so that a range fits a task at any input size. The sum over the
-    scans is used, as the planner's own estimate multiplies at every join."""
+    scans is used, as the planner's own estimate multiplies at every join;
+    scans of unknown size (rows made by the driver) count for nothing.
+
+    Beyond 60 GB ranges grow with the square root of the input, to 320 MB at
+    100 TB, so that what a task sends to a range stays more than its header.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return max(n, size // bytes_each, 1)
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(s for s in sizes if s < 1 << 62)
+    return max(n, size // max(bytes_each, 32 * math.isqrt(size)), 1)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -56,6 +64,10 @@ _ODD = 0x9E3779B97F4A7C15
 _INV = pow(_ODD, -1, 1 << 64)
 _ODD2 = 0xD6E8FEB86659FD93
 _INV2 = pow(_ODD2, -1, 1 << 64)
+_ODD3 = 0xA0761D6478BD642F
+_INV3 = pow(_ODD3, -1, 1 << 64)
+_ODD4 = 0xE7037ED1A0B428DB
+_INV4 = pow(_ODD4, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -100,6 +112,26 @@ def arrow_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+#: A 128-bit content key (an MD5) in NumPy.
+KEY = np.dtype([("a", "<u8"), ("b", "<u8")])
+
+
+def content_key(text: str | Column) -> Column:
+    """The MD5 of a text as 16 bytes: the key of its content."""
+    return F.unhex(F.md5(text))
+
+
+def keys_of(column: pa.Array) -> np.ndarray:
+    """A binary column of content keys as KEYs."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.frombuffer(b"".join(column.to_pylist()), KEY) if len(column) else np.zeros(0, KEY)
+
+
+def arrow_keys(keys: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
+
+
 def pieces(data: np.ndarray, off: np.ndarray, target: int = 1 << 20):
     """Cut a batch between documents into pieces of about `target` bytes:
     (first document, bytes, offsets)."""
@@ -115,15 +147,22 @@ class Words:
     """Whitespace-separated words of a piece, hashed without a Python loop.
 
     `start`/`end` are byte positions, `at` the word offsets of the documents
-    and `hash` a 64-bit hash of each word. Only ASCII whitespace separates.
+    and `hash` a 64-bit hash of each word; with `second`, `hash2` is another
+    one with a code and a base of its own, so that both together tell apart what
+    one can't. Only ASCII whitespace separates.
     """
 
     space = np.zeros(256, bool)
     space[[9, 10, 11, 12, 13, 32]] = True
     code = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def __init__(self) -> None:
+    code2 = np.random.default_rng(20250107).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def __init__(self, second: bool = False) -> None:
         self.bytes, self.words = Powers(_ODD, _INV), Powers(_ODD2, _INV2)
+        self.second = second
+        if second:
+            self.bytes2, self.words2 = Powers(_ODD3, _INV3), Powers(_ODD4, _INV4)
 
     def split(self, data: np.ndarray, off: np.ndarray) -> "Words":
         n = len(data)
@@ -134,21 +173,27 @@ class Words:
         self.start = np.flatnonzero(black[1:-1] & (~black[:-2] | cut[:-1]))
         self.end = np.flatnonzero(black[1:-1] & (~black[2:] | cut[1:])) + 1
         self.at = np.searchsorted(self.start, off)
-        up, down = self.bytes.get(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.code[data] * up[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
+        self.hash = self._hashed(data, self.code, self.bytes)
+        if self.second:
+            self.hash2 = self._hashed(data, self.code2, self.bytes2)
         return self
 
-    def windows(self, width: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all runs of `width` words and the index of their first
-        word; no run crosses documents."""
-        n = len(self.hash)
+    def _hashed(self, data: np.ndarray, code: np.ndarray, powers: Powers) -> np.ndarray:
+        n = len(data)
+        up, down = powers.get(n + 1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(code[data] * up[:n], out=total[1:])
+        return mix((total[self.end] - total[self.start]) * down[self.start])
+
+    def windows(self, width: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes (the second ones, if asked for) of all runs of `width` words
+        and the index of their first word; no run crosses documents."""
+        h, powers = (self.hash2, self.words2) if second else (self.hash, self.words)
+        n = len(h)
         if n < width:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        up, down = self.words.get(n + 1)
+        up, down = powers.get(n + 1)
         total = np.zeros(n + 1, np.uint64)
-        h = mix(self.hash ^ np.uint64(salt)) if salt else self.hash
         np.cumsum(h * up[:n], out=total[1:])
         ok = np.ones(n - width + 1, bool)
         for b in np.unique(self.at[1:-1]):

@@ -1,7 +1,7 @@
 """Line dedup by a deletion-neighbourhood join (operator 10).
 
-Lines are compared as sequences of words. Equal lines meet by their hash; the
-earliest stays. Lines of MIN_NEAR words or more also meet when one word is
+Lines are compared as sequences of words. Equal lines meet by two independent
+hashes of 64 bits; the earliest stays. Lines of MIN_NEAR words or more also meet when one word is
 replaced, inserted or missing: every line emits the hashes of itself and of all
 variants with one word deleted, equal variants are joined, the pairs' edit
 distance is verified, and the earliest line of a pair stays.
@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from .common import Words, arrow_text, mix, pieces, stored
 
+#: Defaults: lines of fewer words stay; lines of fewer words match exactly only.
 MIN_LINE, MIN_NEAR = 4, 8
 
 
@@ -32,7 +33,7 @@ class Lines:
     """The lines of a piece: word offsets `at`, owning document, number in it."""
 
     def __init__(self) -> None:
-        self.words = Words()
+        self.words = Words(second=True)
 
     def split(self, raw: np.ndarray, off: np.ndarray) -> "Lines":
         cut = np.union1d(np.flatnonzero(raw == 10) + 1, off)
@@ -44,23 +45,27 @@ class Lines:
         self.up, self.down = self.words.words.get(len(w.hash) + 2)
         self.total = np.zeros(len(w.hash) + 1, np.uint64)
         np.cumsum(w.hash * self.up[: len(w.hash)], out=self.total[1:])
+        self.up2, self.down2 = self.words.words2.get(len(w.hash) + 2)
+        self.total2 = np.zeros(len(w.hash) + 1, np.uint64)
+        np.cumsum(w.hash2 * self.up2[: len(w.hash)], out=self.total2[1:])
         return self
 
     def run(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Hash of words a..b-1, the same wherever they stand."""
         return (self.total[b] - self.total[a]) * self.down[a]
 
-    def keys(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Line hashes, and four hashes of halves: of the line's own length and
-        of one word more."""
+    def keys(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both line hashes, and four hashes of halves: of the line's own length
+        and of one word more."""
         a, n = self.at[pick], self.n[pick]
         whole = mix(self.run(a, a + n) + n.astype(np.uint64))
+        other = mix((self.total2[a + n] - self.total2[a]) * self.down2[a] + n.astype(np.uint64))
         halves = []
         for m in (n, n + 1):
             tag = m.astype(np.uint64) * np.uint64(2)
             halves.append(mix(mix(self.run(a, a + m // 2)) + tag))
             halves.append(mix(mix(self.run(a + n - (m + 1) // 2, a + n)) + tag + np.uint64(1)))
-        return whole, np.stack(halves, 1)
+        return whole, other, np.stack(halves, 1)
 
     def variants(self, i: int) -> np.ndarray:
         """Hashes of line i without each of its words in turn."""
@@ -75,8 +80,8 @@ def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
 
 
-def line_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, lh, halves) of lines of MIN_LINE words or more."""
+def line_keys(docs: DataFrame, min_line: int, min_near: int) -> DataFrame:
+    """(doc_id, line_no, lh, li, halves) of lines of min_line words or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = Lines()
@@ -84,19 +89,20 @@ def line_keys(docs: DataFrame) -> DataFrame:
             data, off = arrow_text(batch.column(1))
             for first, raw, o in pieces(data, off):
                 x = lines.split(raw, o)
-                pick = np.flatnonzero(x.n >= MIN_LINE)
-                whole, halves = x.keys(pick)
-                near = x.n[pick] >= MIN_NEAR
+                pick = np.flatnonzero(x.n >= max(min_line, 1))
+                whole, other, halves = x.keys(pick)
+                near = x.n[pick] >= min_near
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(first + x.doc[pick])), pa.array(x.number[pick], pa.int32()), pa.array(whole.view(np.int64)), _lists(halves[near].ravel().view(np.int64), near * 4)],
-                    ["doc_id", "line_no", "lh", "halves"],
+                    [batch.column(0).take(pa.array(first + x.doc[pick])), pa.array(x.number[pick], pa.int32()), pa.array(whole.view(np.int64)), pa.array(other.view(np.int64)), _lists(halves[near].ravel().view(np.int64), near * 4)],
+                    ["doc_id", "line_no", "lh", "li", "halves"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, line_no int, lh bigint, halves array<bigint>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line_no int, lh bigint, li bigint, halves array<bigint>")
 
 
-def candidate_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(lh, n, line, whole, variants) of the lines `wanted` (doc_id, lh)."""
+def candidate_lines(docs: DataFrame, wanted: DataFrame, min_near: int) -> DataFrame:
+    """(lh, li, n, line, whole, variants) of the lines `wanted` (doc_id, lh)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = Lines()
@@ -107,34 +113,35 @@ def candidate_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for first, raw, o in pieces(data, off):
                 x = lines.split(raw, o)
                 docs_in = len(o) - 1
-                pick = np.flatnonzero(x.n >= MIN_NEAR)
-                whole, _ = x.keys(pick)
-                h = whole.view(np.int64)
+                pick = np.flatnonzero(x.n >= min_near)
+                whole, other, _ = x.keys(pick)
+                h, second = whole.view(np.int64), other.view(np.int64)
                 ask = flat[bounds[first] : bounds[first + docs_in]]
                 who = np.repeat(np.arange(docs_in), np.diff(bounds[first : first + docs_in + 1]))
                 # (document, hash) pairs that were asked for
                 hit = np.isin(h, ask)
                 pairs = set(zip(who.tolist(), ask.tolist()))
-                chosen = [(i, int(k)) for i, k, y in zip(pick, h, hit) if y and (int(x.doc[i]), int(k)) in pairs]
+                chosen = [(i, int(k), int(m)) for i, k, m, y in zip(pick, h, second, hit) if y and (int(x.doc[i]), int(k)) in pairs]
                 if not chosen:
                     continue
-                rows = np.array([i for i, _ in chosen])
+                rows = np.array([i for i, *_ in chosen])
                 made = [x.variants(i) for i in rows]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([k for _, k in chosen], pa.int64()),
+                        pa.array([k for _, k, _ in chosen], pa.int64()),
+                        pa.array([m for *_, m in chosen], pa.int64()),
                         pa.array(x.n[rows], pa.int32()),
                         pa.array([raw[x.cut[i] : x.cut[i + 1]].tobytes().decode("utf-8", "replace") for i in rows], pa.string()),
                         pa.array(mix(x.run(x.at[rows], x.at[rows] + x.n[rows])).view(np.int64)),
                         _lists(np.concatenate(made).view(np.int64), np.array([len(m) for m in made])),
                     ],
-                    ["lh", "n", "line", "whole", "variants"],
+                    ["lh", "li", "n", "line", "whole", "variants"],
                 )
 
     asked = wanted.groupBy("doc_id").agg(F.collect_set("lh").alias("asked"))
     # a sort-merge join at every size: the lines sought grow with the corpus
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id"))).select("text", "asked")
-    return rows.mapInArrow(run, "lh bigint, n int, line string, whole bigint, variants array<bigint>").groupBy("lh").agg(*[F.first(c).alias(c) for c in ("n", "line", "whole", "variants")])
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id"))).select("text", "asked")
+    return rows.mapInArrow(run, "lh bigint, li bigint, n int, line string, whole bigint, variants array<bigint>").groupBy("lh", "li").agg(*[F.first(c).alias(c) for c in ("n", "line", "whole", "variants")])
 
 
 def within_one_edit(a: list[str], b: list[str]) -> bool:
@@ -156,28 +163,31 @@ def _verified(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([within_one_edit(split(x), split(y)) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
 
 
-def duplicate_lines(docs: DataFrame) -> DataFrame:
-    """The lines to remove: (doc_id, line_no, keep_doc_id, keep_line_no, kind).
+def duplicate_lines(docs: DataFrame, min_line: int = MIN_LINE, min_near: int = MIN_NEAR) -> DataFrame:
+    """The lines to remove: (doc_id, line_no, keep_doc_id, keep_line_no, kind),
+    ids as given.
 
     Lines end at line feeds and are numbered from 0; words are separated by
     ASCII whitespace and compared byte by byte. Order is by doc_id (null last)
     and line number. kind is "near" if an earlier line of the corpus is within
     one word edit (then the earliest of these is named), else "exact" if an
-    equal line comes earlier. Lines of fewer than MIN_LINE words (blank ones
-    among them) are never removed, lines of fewer than MIN_NEAR words only as
-    exact copies. Null and empty texts have no lines to remove. Rows with equal
-    id and text are one document: they get the same lines, each row its own.
-    Extra columns are ignored; an empty table gives an empty table.
+    equal line comes earlier. Lines of fewer than min_line words, and blank
+    ones, are never removed, lines of fewer than min_near words only as exact
+    copies. Null and empty texts have no lines to remove; very long texts and
+    lines are taken whole. Ties: rows with equal id and text are one document,
+    they get the same lines, each row its own. Extra columns are ignored,
+    whatever their names; an empty table gives an empty table.
     """
+    key = ["lh", "li"]
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "line_no")
-    lines = stored(line_keys(docs), "lines")
-    first = stored(lines.groupBy("lh").agg(F.min(place).alias("at"), F.first("halves").alias("halves")), "distinct")
-    shared = first.select("lh", F.explode("halves").alias("half")).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("half"))).where("many > 1").select("lh").distinct()
-    wanted = stored(first.join(shared, "lh", "left_semi").select("lh", "at", "at.doc_id"), "wanted")
-    text = stored(candidate_lines(docs, wanted), "candidates").join(wanted.select("lh", "at"), "lh")
-    made = text.select(F.posexplode("variants").alias("i", "v"), "n", "lh", "at")
-    made = made.unionByName(text.select(F.lit(-1).alias("i"), F.col("whole").alias("v"), (F.col("n") + 1).alias("n"), "lh", "at"))
-    member = F.struct("at", "lh")
+    lines = stored(line_keys(docs, min_line, min_near), "lines")
+    first = stored(lines.groupBy(*key).agg(F.min(place).alias("at"), F.first("halves").alias("halves")), "distinct")
+    shared = first.select(*key, F.explode("halves").alias("half")).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("half"))).where("many > 1").select(*key).distinct()
+    wanted = stored(first.join(shared, key, "left_semi").select(*key, "at", "at.doc_id"), "wanted")
+    text = stored(candidate_lines(docs, wanted, min_near), "candidates").join(wanted.select(*key, "at"), key)
+    made = text.select(F.posexplode("variants").alias("i", "v"), "n", *key, "at")
+    made = made.unionByName(text.select(F.lit(-1).alias("i"), F.col("whole").alias("v"), (F.col("n") + 1).alias("n"), *key, "at"))
+    member = F.struct("at", *key)
     crowd, slot = Window.partitionBy("v", "n"), Window.partitionBy("v", "n", "i")
     whole = F.col("i") == -1
     made = (
@@ -187,14 +197,14 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         .withColumn("short", F.min(F.when(whole, member)).over(crowd))
         .withColumn("long", F.min(F.when(~whole, member)).over(crowd))
     )
-    pairs = made.select(F.struct("at", "lh").alias("x"), F.explode(F.array("same", F.when(whole, F.col("long")).otherwise(F.col("short")))).alias("y")).where("y is not null and y.at < x.at").select("x.lh", F.col("y.lh").alias("lh2"), F.col("y.at").alias("at2")).distinct()
-    a, b = text.select("lh", F.col("line").alias("line")), text.select(F.col("lh").alias("lh2"), F.col("line").alias("line2"))
-    near = pairs.join(a, "lh").join(b, "lh2").where(_verified("line", "line2")).groupBy("lh").agg(F.min("at2").alias("near"))
-    decided = stored(first.select("lh", "at").join(near, "lh", "left"), "decided")
+    pairs = made.select(member.alias("x"), F.explode(F.array("same", F.when(whole, F.col("long")).otherwise(F.col("short")))).alias("y")).where("y is not null and y.at < x.at").select("x.lh", "x.li", F.col("y.lh").alias("lh2"), F.col("y.li").alias("li2"), F.col("y.at").alias("at2")).distinct()
+    a, b = text.select(*key, "line"), text.select(F.col("lh").alias("lh2"), F.col("li").alias("li2"), F.col("line").alias("line2"))
+    near = pairs.join(a, key).join(b, ["lh2", "li2"]).where(_verified("line", "line2")).groupBy(*key).agg(F.min("at2").alias("near"))
+    decided = stored(first.select(*key, "at").join(near, key, "left"), "decided")
     keep = F.coalesce("near", "at")
     return (
         lines.drop("halves")
-        .join(decided, "lh")
+        .join(decided, key)
         .where(F.col("near").isNotNull() | (place != F.col("at")))
         .select("doc_id", "line_no", keep.doc_id.alias("keep_doc_id"), keep.line_no.alias("keep_line_no"), F.when(F.col("near").isNotNull(), "near").otherwise("exact").alias("kind"))
     )

@@ -11,7 +11,8 @@ elsewhere, which gives the maximal exact repeats.
 
 Windows travel as sorted, delta-coded 48-bit fingerprints (about 4 bytes each)
 in one binary value per task and hash range. A false hit costs a little work,
-as the extension compares 96 bits of two independent hashes.
+as the extension compares 96 bits of two independent hashes. Contents are known
+by 128-bit keys.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_text, buckets, pieces
+from .common import KEY, Words, arrow_keys, arrow_text, buckets, content_key, keys_of, pieces
 from .exact_dedup import hash_range
 
 BLOCK, MIN_WORDS = 20, 40
@@ -81,7 +82,7 @@ def anchors(contents: DataFrame, block: int = BLOCK) -> DataFrame:
             )
 
         for batch in batches:
-            keys = np.asarray(batch.column(0))
+            keys = keys_of(batch.column(0))
             data, off = arrow_text(batch.column(1))
             for first, raw, o in pieces(data, off):
                 w = words.split(raw, o)
@@ -102,18 +103,18 @@ def anchors(contents: DataFrame, block: int = BLOCK) -> DataFrame:
         h = np.sort(np.concatenate([decode(x) for x in table.column("windows").to_pylist()]))
         bh, rk, pos = [], [], []
         for x in table.column("blocks").to_pylist():
-            m = len(x) // 20
+            m = len(x) // 28
             bh.append(np.frombuffer(x, np.uint64, m))
-            rk.append(np.frombuffer(x, np.int64, m, 8 * m))
-            pos.append(np.frombuffer(x, np.int32, m, 16 * m))
+            rk.append(np.frombuffer(x, KEY, m, 8 * m))
+            pos.append(np.frombuffer(x, np.int32, m, 24 * m))
         bh, rk, pos = (np.concatenate(x) for x in (bh, rk, pos))
         # a block is a window itself, so one occurrence is its own
         i = np.searchsorted(h, bh)
         hit = (i + 1 < len(h)) & (h[np.minimum(i + 1, len(h) - 1)] == bh)
-        return pa.table({"rk": rk[hit], "pos": pos[hit]})
+        return pa.table({"rk": arrow_keys(rk[hit]), "pos": pos[hit]})
 
     runs = contents.mapInArrow(emit, "bucket int, windows binary, blocks binary")
-    return runs.groupBy("bucket").applyInArrow(probe, "rk bigint, pos int")
+    return runs.groupBy("bucket").applyInArrow(probe, "rk binary, pos int")
 
 
 def repeats(contents: DataFrame, block: int = BLOCK, width: int = MIN_WORDS) -> DataFrame:
@@ -127,7 +128,7 @@ def repeats(contents: DataFrame, block: int = BLOCK, width: int = MIN_WORDS) ->
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows of `width` words around anchors, by hash range; contents
         that occur more than once are repeats as a whole."""
-        words, held, whole, size = Words(), [], [], 0
+        words, held, whole, size = Words(second=True), [], [], 0
 
         def flush() -> pa.RecordBatch:
             h1, h2, rk, pos, single = (np.concatenate(x) for x in zip(*held))
@@ -141,26 +142,26 @@ def repeats(contents: DataFrame, block: int = BLOCK, width: int = MIN_WORDS) ->
                 one = np.argsort(~single[s], kind="stable")  # those that want an answer come first
                 m = int(single[s].sum())
                 blobs.append(np.array([m, len(one)], np.int64).tobytes() + h1[s][one].tobytes() + h2[s][one].tobytes() + rk[s][one][:m].tobytes() + pos[s][one][:m].tobytes())
-            k, c = np.concatenate([np.zeros(0, np.int64)] + [x for x, _ in whole]), np.concatenate([np.zeros(0, np.int64)] + [x for _, x in whole])
+            k, c = np.concatenate([np.zeros(0, KEY)] + [x for x, _ in whole]), np.concatenate([np.zeros(0, np.int64)] + [x for _, x in whole])
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([pa.array(some, pa.int32()), pa.array((k % n).astype(np.int32))]),
+                    pa.concat_arrays([pa.array(some, pa.int32()), pa.array((k["a"] % np.uint64(n)).astype(np.int32))]),
                     pa.concat_arrays([_binary(blobs), pa.nulls(len(k), pa.binary())]),
-                    pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(k)]),
+                    pa.concat_arrays([pa.nulls(len(some), pa.binary()), arrow_keys(k)]),
                     pa.concat_arrays([pa.nulls(len(some), pa.int32()), pa.array(c.astype(np.int32))]),
                 ],
                 ["bucket", "windows", "rk", "words"],
             )
 
         for batch in batches:
-            keys, times = np.asarray(batch.column(0)), np.asarray(batch.column(3))
+            keys, times = keys_of(batch.column(0)), np.asarray(batch.column(3))
             lists = batch.column(2)
             place, bounds = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
             data, off = arrow_text(batch.column(1))
             for first, raw, o in pieces(data, off):
                 w = words.split(raw, o)
                 h1, at = w.windows(width)
-                h2, _ = w.windows(width, 0x5851F42D4C957F2D)
+                h2, _ = w.windows(width, second=True)
                 docs = len(o) - 1
                 # +1 / -1 marks of the windows that hold an anchored block
                 mark = np.zeros(len(w.hash) + 1, np.int64)
@@ -192,13 +193,13 @@ def repeats(contents: DataFrame, block: int = BLOCK, width: int = MIN_WORDS) ->
             m, size = np.frombuffer(x, np.int64, 2)
             h1.append(np.frombuffer(x, np.uint64, size, 16))
             h2.append(np.frombuffer(x, np.uint32, size, 16 + 8 * size))
-            key, where = np.zeros(size, np.int64), np.full(size, -1, np.int32)
-            key[:m] = np.frombuffer(x, np.int64, m, 16 + 12 * size)
-            where[:m] = np.frombuffer(x, np.int32, m, 16 + 12 * size + 8 * m)
+            key, where = np.zeros(size, KEY), np.full(size, -1, np.int32)
+            key[:m] = np.frombuffer(x, KEY, m, 16 + 12 * size)
+            where[:m] = np.frombuffer(x, np.int32, m, 16 + 12 * size + 16 * m)
             rk.append(key)
             pos.append(where)
         whole = table.filter(pa.compute.is_valid(table.column("rk"))).select(["rk", "words"])
-        h1, h2, rk, pos = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((h1, np.uint64), (h2, np.uint32), (rk, np.int64), (pos, np.int32)))
+        h1, h2, rk, pos = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((h1, np.uint64), (h2, np.uint32), (rk, KEY), (pos, np.int32)))
         order = np.lexsort([h2, h1])
         h1, h2, rk, pos = h1[order], h2[order], rk[order], pos[order]
         same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
@@ -207,14 +208,14 @@ def repeats(contents: DataFrame, block: int = BLOCK, width: int = MIN_WORDS) ->
         again[:-1] |= same
         again &= pos >= 0
         rk, pos = rk[again], pos[again]
-        order = np.argsort(rk, kind="stable")
+        order = np.lexsort([rk["b"], rk["a"]])
         rk, pos = rk[order], pos[order]
         first = np.flatnonzero(np.concatenate([[True], rk[1:] != rk[:-1]])) if len(rk) else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(rk)), pa.int32()), pa.array(pos))
         n_whole = whole.num_rows
         return pa.table(
             {
-                "rk": pa.concat_arrays([pa.array(rk[first]), pa.array(np.asarray(whole.column("rk")), pa.int64())]),
+                "rk": pa.concat_arrays([arrow_keys(rk[first]), arrow_keys(keys_of(whole.column("rk")))]),
                 "at": pa.concat_arrays([lists, pa.array([[]] * n_whole, pa.list_(pa.int32()))]),
                 "words": pa.concat_arrays([pa.array(np.zeros(len(first), np.int32)), pa.array(np.asarray(whole.column("words")), pa.int32())]),
             }
@@ -222,7 +223,7 @@ def repeats(contents: DataFrame, block: int = BLOCK, width: int = MIN_WORDS) ->
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rk, words = np.asarray(batch.column(0)), np.asarray(batch.column(2))
+            rk, words = keys_of(batch.column(0)), np.asarray(batch.column(2))
             lists = batch.column(1)
             owner = np.repeat(np.arange(len(rk)), np.asarray(lists.value_lengths()))
             p = np.asarray(lists.flatten()).astype(np.int64)
@@ -233,16 +234,16 @@ def repeats(contents: DataFrame, block: int = BLOCK, width: int = MIN_WORDS) ->
             whole = np.flatnonzero(words > 0)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([rk[owner[new]], rk[whole]])),
+                    arrow_keys(np.concatenate([rk[owner[new]], rk[whole]])),
                     pa.array(np.concatenate([p[new], np.zeros(len(whole), np.int64)]), pa.int32()),
                     pa.array(np.concatenate([p[last] - p[new] + width, words[whole]]), pa.int32()),
                 ],
                 ["rk", "start_word", "n_words"],
             )
 
-    windows = near.mapInArrow(extend, "bucket int, windows binary, rk bigint, words int")
-    hits = windows.groupBy("bucket").applyInArrow(confirm, "rk bigint, at array<int>, words int")
-    return hits.groupBy("rk").agg(F.flatten(F.collect_list("at")).alias("at"), F.max("words").alias("words")).mapInArrow(spans, "rk bigint, start_word int, n_words int")
+    windows = near.mapInArrow(extend, "bucket int, windows binary, rk binary, words int")
+    hits = windows.groupBy("bucket").applyInArrow(confirm, "rk binary, at array<int>, words int")
+    return hits.groupBy("rk").agg(F.flatten(F.collect_list("at")).alias("at"), F.max("words").alias("words")).mapInArrow(spans, "rk binary, start_word int, n_words int")
 
 
 def repeated_spans(docs: DataFrame, block: int = BLOCK, min_words: int = MIN_WORDS) -> DataFrame:
@@ -254,10 +255,11 @@ def repeated_spans(docs: DataFrame, block: int = BLOCK, min_words: int = MIN_WOR
     them is not. Spans of one document may overlap by less than min_words.
     Texts that are null, empty or shorter than min_words give no span. Rows are
     compared as rows: a repeated row is a repeat of its twin, and each gives
-    its spans. A null id is carried along. Extra columns are ignored, an empty
+    its spans. Very long texts are searched whole. A null id is carried along;
+    ties don't arise. Extra columns are ignored, whatever their names; an empty
     table gives an empty table.
     """
-    rows = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("rk"), "doc_id", "text")
+    rows = docs.where(F.col("text").isNotNull()).select(content_key("text").alias("rk"), "doc_id", "text")
     found = repeats(rows.select("rk", "text"), block, min_words)
     return rows.select("rk", "doc_id").join(found, "rk").select("doc_id", "start_word", "n_words")
 
