@@ -22,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, arrow_text, buckets, mix, pieces, stored
+from .common import Words, arrow_text, buckets, column, content_key, fresh, mix, pieces, stored
 from .graph import components
 
 SHINGLE, THRESHOLD = 3, 0.5
@@ -221,14 +221,11 @@ def across(members: DataFrame, least: float) -> DataFrame:
     return members.repartition(buckets(members), "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a binary, b binary")
 
 
-def content_key(text: str) -> Column:
-    return F.unhex(F.md5(text))
-
-
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(key, group, lead, size) of the contents that have a near-duplicate;
     key is the content's MD5, lead marks the content to keep."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(content_key(text_col).alias("key"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    text_of, id_of = column(text_col), column(id_col)
+    rows = docs.where(text_of.isNotNull()).select(content_key(text_of).alias("key"), text_of.alias("text"), id_of.alias("id"))
     seen = stored(sketched(rows.select("key", "text")).groupBy("key").agg(F.first("sk").alias("sk"), F.first("bands").alias("bands")), "sketches")
     crowd = Window.partitionBy("bucket")
     # one order for all bands, so that a group mostly has one hub
@@ -265,32 +262,49 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     )
 
 
+def _flagged(docs: DataFrame, id_col: str, text_col: str, threshold: float, names: list[str]) -> DataFrame:
+    """docs with three more columns, called as given: the group's smallest id,
+    its rows, and whether the row is the one that stays."""
+    group_id, size, kept = names
+    own = fresh(docs, "key", "group", "lead", "size")
+    key, group, lead, rows = own
+    found = groups(docs, id_col, text_col, threshold).toDF(*own)
+    text, ident = column(text_col), column(id_col)
+    present = docs.where(text.isNotNull()).withColumn(key, content_key(text)).join(found, key, "left")
+    same = Window.partitionBy(key)
+    flagged = present.withColumns(
+        {
+            group_id: F.coalesce(F.col(group), F.min(ident).over(same)),
+            size: F.coalesce(F.col(rows), F.count(F.lit(1)).over(same)),
+            kept: F.coalesce(F.col(lead), F.lit(True)) & (F.row_number().over(same.orderBy(ident.asc_nulls_last())) == 1),
+        }
+    )
+    absent = docs.where(text.isNull()).withColumns({group_id: ident, size: F.lit(1).cast("long"), kept: F.lit(True)})
+    columns = [*map(column, docs.columns), *names]
+    return flagged.select(*columns).unionByName(absent.select(*columns))
+
+
 def flag_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with `group_id` (smallest id of the group), `group_size` (rows) and
     `is_kept` (exactly one row of each group: the smallest id, null ids last).
 
     Equal texts are always one group. Texts that are null or have no words are
     in no group: kept, group_size 1, except that equal blank texts are copies
-    of each other. Ties are broken by content, of rows equal in id and text one
-    is kept. Other columns pass through; columns of the three names above are
-    replaced. An empty table gives an empty table.
+    of each other. Texts of any length are shingled whole. Ties are broken by
+    content, of rows equal in id and text one is kept. Other columns pass
+    through; columns of the three names above are replaced. An empty table
+    gives an empty table.
     """
-    docs = docs.drop("group_id", "group_size", "is_kept")
-    found = groups(docs, id_col, text_col, threshold).withColumnsRenamed({"key": "__key", "group": "__group", "lead": "__lead", "size": "__size"})
-    present = docs.where(F.col(text_col).isNotNull()).withColumn("__key", content_key(text_col)).join(found, "__key", "left")
-    same = Window.partitionBy("__key")
-    flagged = (
-        present.withColumn("group_id", F.coalesce("__group", F.min(id_col).over(same)))
-        .withColumn("group_size", F.coalesce("__size", F.count(F.lit(1)).over(same)))
-        .withColumn("is_kept", F.coalesce("__lead", F.lit(True)) & (F.row_number().over(same.orderBy(F.col(id_col).asc_nulls_last())) == 1))
-    )
-    absent = docs.where(F.col(text_col).isNull()).withColumns({"group_id": F.col(id_col), "group_size": F.lit(1).cast("long"), "is_kept": F.lit(True)})
-    return flagged.select(absent.columns).unionByName(absent)
+    names = ["group_id", "group_size", "is_kept"]
+    return _flagged(docs.drop(*names), id_col, text_col, threshold, names)
 
 
-def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """One row of each group, columns as given; see flag_near."""
-    return flag_near(docs, **options).where("is_kept").select(docs.columns)
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each group, all columns as given, whatever their names; which
+    row, and what nulls, empty and long texts, ties and empty tables give, is
+    as in flag_near."""
+    names = fresh(docs, "group_id", "group_size", "is_kept")
+    return _flagged(docs, id_col, text_col, threshold, names).where(F.col(names[2])).select(*map(column, docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
