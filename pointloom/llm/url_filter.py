@@ -69,24 +69,33 @@ def evaluate(captures: DataFrame, events: DataFrame, fetched: Column | None = No
     `lists` names the lists with an active blocking entry, `entries` counts
     them. An allow entry lifts blocking entries of its list that are not longer
     than it. Captures without a usable URL (null, empty, no host) or a fetch
-    time match nothing and are not blocked. Repeated rows are evaluated one by
-    one. Extra columns are ignored; an empty table gives an empty table.
+    time match nothing and are not blocked. Very long URLs are looked up whole.
+    A capture on the day of an event sees the event's outcome; of tied events of
+    one day see `intervals`. Repeated rows are evaluated one by one. Extra
+    columns are ignored, whatever their names; an empty table gives an empty
+    table.
 
     The list is joined by equality of keys; Catalyst broadcasts it only while
     its size is below the session's threshold and shuffles both sides beyond.
+    Suffixes are looked up only if some entry has as many labels, so that
+    top-level domains, which nearly all captures share, are no keys at all
+    unless a list names one.
     """
     if fetched is None:
-        fetched = F.date_add(F.lit(EPOCH).cast("date"), F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(DAYS)).cast("int"))
+        # a null id has no day
+        fetched = F.date_add(F.lit(EPOCH).cast("date"), F.pmod("page_id", F.lit(DAYS)).cast("int"))
     rows = captures.select("page_id", "url", host_of("url").alias("host"), fetched.alias("fetched"), path_of("url").alias("__path"))
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern")))
+    suffixes = F.transform(F.filter(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_contains("depths", F.size(labels) - i + 1)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern")))
     steps = F.filter(F.split("__path", "/"), lambda x: x != "")
     prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1))), lambda i: F.struct(F.lit("path").alias("kind"), F.concat("host", F.lit("/"), F.array_join(F.slice(steps, 1, i), "/")).alias("pattern")))
     keys = F.concat(suffixes, prefixes, F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("pattern"))))
     # one lookup per distinct (host, path, day): captures of one address on one day share it
     spots = rows.where("host is not null and fetched is not null").select("host", "__path", "fetched").distinct()
     active = intervals(events)
-    met = spots.withColumn("key", F.explode(keys)).select("host", "__path", "fetched", "key.kind", "key.pattern").join(active, ["kind", "pattern"]).where("since <= fetched and (until is null or fetched < until)")
+    # one row: the numbers of labels of domain entries
+    depths = active.where("kind = 'domain'").agg(F.collect_set(F.size(F.split("pattern", r"\."))).alias("depths"))
+    met = spots.join(F.broadcast(depths)).withColumn("key", F.explode(keys)).select("host", "__path", "fetched", "key.kind", "key.pattern").join(active, ["kind", "pattern"]).where("since <= fetched and (until is null or fetched < until)")
     spot = ["host", "__path", "fetched"]
     verdict = (
         met.groupBy(*spot, "list")
