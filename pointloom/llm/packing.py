@@ -54,28 +54,28 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets
 
 
-SCHEMA = "doc_id bigint, piece int, tokens bigint, shard int, bin bigint, bin_offset bigint"
+PLACES = "piece int, tokens bigint, shard int, bin bigint, bin_offset bigint"
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Rows (doc_id, piece, tokens, shard, bin, bin_offset): where each piece
-    of each document goes. Bins are numbered within their shard.
+    of each document goes; doc_id as given. Bins are numbered within their shard.
 
     Documents without tokens (null or empty text) take no room and have no row.
-    A null id is carried along as null; rows with equal ids are packed one by
-    one. Ties in the order are broken by id and size, so repeated rows are
-    interchangeable. An empty table gives an empty table; extra columns,
-    whatever their names, are ignored.
+    Very long texts are cut into pieces of `capacity` and a rest. A null id is
+    carried along as null (its text decides on the shard); rows with equal ids
+    are packed one by one. Ties in the order are broken by id and size, so
+    repeated rows are interchangeable. An empty table gives an empty table;
+    extra columns, whatever their names, are ignored.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens().alias("n")).where("n > 0")
+    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    sized = docs.select("doc_id", tokens().alias("n"), salt.alias("salt")).where("n > 0")
     shards = docs.groupBy().agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(shard_docs))).cast("int").alias("shards")).first()[0]
-    spread = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards)).cast("int"))
+    spread = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", "salt"), F.lit(shards)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("place", "ascending"), ("doc_id", "ascending"), ("n", "ascending")])
         ids, n = table.column("doc_id"), np.asarray(table.column("n"))
-        keys = np.asarray(ids.fill_null(-1))
-        order = np.lexsort([n, keys, np.asarray(table.column("place"))])
-        ids, n = ids.take(pa.array(order)), n[order]
         full, rest = n // capacity, n % capacity
         part = np.flatnonzero(rest)
         bins, offsets = sum_of_squares(rest[part], capacity)
@@ -94,7 +94,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS
             }
         )
 
-    return spread.withColumn("place", F.xxhash64("n", "doc_id", F.lit(8))).groupBy("shard").applyInArrow(run, SCHEMA)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return spread.withColumn("place", F.xxhash64("n", "doc_id", "salt", F.lit(8))).groupBy("shard").applyInArrow(run, f"doc_id {kind}, {PLACES}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,4 +66,8 @@ def test_odd_rows(spark):
     assert (out.doc_id == 6).sum() == 2 and out.doc_id.isna().sum() == 1
     assert out.groupby(["shard", "bin"]).tokens.sum().max() <= 2048
     assert pack(clashing(docs)).count() == len(out)
+    named = pack(docs.selectExpr("concat('d', doc_id) as doc_id", "text")).toPandas()
+    assert set(named.doc_id.dropna()) == {f"d{i}" for i in (3, 4, 5, 6, 7, 8)} and len(named) == len(out)
+    unnamed = pack(docs.sparkSession.range(600).selectExpr("cast(null as bigint) as doc_id", "concat('same length ', id + 100000) as text"), shard_docs=100).toPandas()
+    assert len(unnamed) == 600 and unnamed.shard.nunique() == 6
     assert pack(docs.limit(0)).count() == 0
