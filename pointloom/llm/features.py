@@ -7,10 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_text, pieces
+from .common import Words, arrow_text, mix, pieces
 
-NAMES = ["symbol_share", "upper_share", "repeat_share", "digit_share", "long_word_share", "log_words"]
-LAGS = 8
+NAMES = ["symbol_share", "upper_share", "repeat_share", "copied_share", "digit_share", "long_word_share", "log_words"]
+LAGS, RUN = 8, 8
 SCHEMA = "struct<" + ",".join(f"{n}:double" for n in NAMES) + ">"
 
 
@@ -21,7 +21,9 @@ def compute(column: pa.Array) -> list[np.ndarray]:
     symbol_share, upper_share, digit_share: ASCII symbols other than .,;:'"()-?
     and /, ASCII capitals, and digits, over the bytes that are not whitespace.
     repeat_share: the largest share, over lags up to LAGS, of words equal to
-    the word so many places before. long_word_share: words of over 40 bytes.
+    the word so many places before. copied_share: the share of runs of RUN
+    words that stand earlier in the text, at any distance. long_word_share:
+    words of over 40 bytes. log_words: ln(1 + words). Texts are read whole.
     """
     data, off = arrow_text(column)
     n = len(off) - 1
@@ -44,7 +46,7 @@ def compute(column: pa.Array) -> list[np.ndarray]:
         size = np.zeros(len(w.start) + 1)
         np.cumsum(w.end - w.start, out=size[1:])
         black = np.maximum(size[w.at[1:]] - size[w.at[:-1]], 1)
-        for row, k in ((0, 0), (1, 1), (3, 2)):
+        for row, k in ((0, 0), (1, 1), (4, 2)):
             out[row, docs] = (total[k, o[1:]] - total[k, o[:-1]]) / black
         owner = np.repeat(np.arange(len(count)), count)
         best = np.zeros(len(count))
@@ -54,8 +56,15 @@ def compute(column: pa.Array) -> list[np.ndarray]:
             same = (w.hash[lag:] == w.hash[:-lag]) & (owner[lag:] == owner[:-lag])
             best = np.maximum(best, np.bincount(owner[lag:], same, len(count)))
         out[2, docs] = best / np.maximum(count, 1)
-        out[4, docs] = np.bincount(owner, (w.end - w.start) > 40, len(count)) / np.maximum(count, 1)
-        out[5, docs] = np.log1p(count)
+        run, at = w.windows(RUN)
+        whose = owner[at]
+        # a run of another document is another run
+        run = mix(run ^ whose.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort(run)
+        again = order[1:][run[order[1:]] == run[order[:-1]]]
+        out[3, docs] = np.bincount(whose[again], minlength=len(count)) / np.maximum(count - RUN + 1, 1)
+        out[5, docs] = np.bincount(owner, (w.end - w.start) > 40, len(count)) / np.maximum(count, 1)
+        out[6, docs] = np.log1p(count)
         out[:, docs] *= have
     return list(out)
 

@@ -30,7 +30,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import column, fresh, stored
 from .features import features
 
 #: Candidate cutoffs of each rule, from loose to tight.
@@ -38,6 +38,7 @@ GRID = {
     "symbol_share": [0.5, 0.4, 0.3, 0.25, 0.2, 0.17, 0.14, 0.12, 0.1, 0.09, 0.08, 0.07, 0.06, 0.05, 0.04, 0.03, 0.02],
     "upper_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.17, 0.15],
     "repeat_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.22, 0.2, 0.18, 0.16, 0.14, 0.12, 0.1],
+    "copied_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1],
     "digit_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3],
     "long_word_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3],
 }
@@ -46,20 +47,34 @@ RISK, DELTA = 0.02, 0.05
 DESIGN = 10
 
 
+def at_most(k: int, n: int, p: float) -> float:
+    """P(Binomial(n, p) <= k), summed from k downwards until terms no longer
+    count: for k below the mean a few standard deviations' worth of terms."""
+    lp, lq, base = math.log(p), math.log1p(-p), math.lgamma(n + 1)
+    total, low = 0.0, p * n
+    for i in range(k, -1, -1):
+        term = math.exp(base - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * lp + (n - i) * lq)
+        total += term
+        if i < low and term < 1e-18 * total:
+            break
+    return min(1.0, total)
+
+
+def within_risk(k: int, n: int, risk: float, error: float) -> bool:
+    """Whether the Clopper-Pearson bound of k of n is at most `risk`: one tail,
+    and none where the share itself is above it."""
+    return n > 0 and k <= risk * n and at_most(k, n, risk) <= error
+
+
 def upper_bound(k: int, n: int, error: float) -> float:
     """Clopper-Pearson: the p at which Binomial(n, p) <= k has probability
     `error`; 1 for n = 0."""
     if k >= n:
         return 1.0
-
-    def tail(p: float) -> float:
-        lp, lq, base = math.log(p), math.log1p(-p), math.lgamma(n + 1)
-        return sum(math.exp(base - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * lp + (n - i) * lq) for i in range(k + 1))
-
     low, high = k / n, 1.0
     for _ in range(60):
         mid = (low + high) / 2
-        if 0 < mid < 1 and tail(mid) > error:
+        if 0 < mid < 1 and at_most(k, n, mid) > error:
             low = mid
         else:
             high = mid
@@ -103,12 +118,18 @@ def certified(steps: list[tuple[int, ...]], good: Counter, safe: Callable[[int,
     return found
 
 
-def calibrate(scored: DataFrame, labels: DataFrame, stratum: str = "lang", grid: dict = GRID, risk: float = RISK, delta: float = DELTA) -> Cutoffs:
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, __good): one row for each labelled document, good if any of its
+    labels says so; null ids and labels are ignored."""
+    return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("__good"))
+
+
+def calibrate(scored: DataFrame, labels: DataFrame, stratum: str = "lang", grid: dict = GRID, risk: float = RISK, delta: float = DELTA, docs: DataFrame | None = None) -> Cutoffs:
     """Cutoffs by stratum and rule, from the labelled rows of `scored`
-    (doc_id, stratum, struct f). A document labelled more than once counts as
-    good if any label says so; null ids and labels are ignored. A stratum
-    without documents labelled bad tests the sequence of all strata's."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("__good"))
+    (doc_id, stratum, struct f). `docs` has the strata of all documents, where
+    `scored` has labelled ones only. A stratum without documents labelled bad
+    tests the sequence of all strata's."""
+    known = labelled(labels)
     held = scored.where("doc_id is not null").join(known, "doc_id")
     key = F.coalesce(stratum, F.lit(""))
     # how many cutoffs of each rule a document exceeds; one row per combination that occurs
@@ -125,8 +146,8 @@ def calibrate(scored: DataFrame, labels: DataFrame, stratum: str = "lang", grid:
     if not strata:
         return found
     # the pooled test takes the place of a small stratum's own, or is one more
-    tests = len(strata) + (not scored.where(~key.isin(list(strata))).isEmpty())
-    safe = lambda wrong, n: upper_bound(wrong, n, delta / tests) <= risk
+    tests = len(strata) + (not (scored if docs is None else docs).where(~key.isin(list(strata))).isEmpty())
+    safe = lambda wrong, n: within_risk(wrong, n, risk, delta / tests)
     named = lambda step: {r: sorted(cuts)[i] for (r, cuts), i in zip(grid.items(), step or lengths) if i < len(cuts)}
     general = sequence(both["bad"], both["design"], lengths)
     pooled = certified(general, both["good"], safe)
@@ -160,13 +181,21 @@ def fit(docs: DataFrame, labels: DataFrame, **options) -> tuple[DataFrame, Cutof
     return scored, calibrate(scored, labels, **options)
 
 
+def fit_labelled(docs: DataFrame, labels: DataFrame, **options) -> Cutoffs:
+    """The cutoffs alone: features are computed of labelled documents only."""
+    some = docs.join(labelled(labels).select("doc_id"), "doc_id", "left_semi").select("doc_id", "lang", features().alias("f"))
+    return calibrate(stored(some, "features"), labels, docs=docs, **options)
+
+
 def quality_verdicts(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """(doc_id, lang, broken, is_kept) of every row of docs.
 
     Texts that are null, empty or blank have all features zero and are kept
     (no rule is broken); so is any row whose stratum has no certified cutoff,
-    neither its own nor a pooled one.
-    A null language is a stratum of its own. Repeated rows get equal verdicts.
+    neither its own nor a pooled one. Very long texts are read whole. A feature
+    equal to its cutoff does not break the rule. A null language is a stratum
+    of its own. Repeated rows get equal verdicts. Extra columns are ignored,
+    whatever their names; an empty table gives an empty table.
     """
     scored, cutoffs = fit(docs, labels, **options)
     names = broken(cutoffs, "lang", "f")
@@ -174,9 +203,12 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, **options) -> DataFrame
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that break no rule, columns as given."""
-    _, cutoffs = fit(docs, labels, **options)
-    return docs.withColumn("__f", features()).where(F.size(broken(cutoffs, "lang", "__f")) == 0).select(docs.columns)
+    """The rows of docs that break no rule, all columns as given, whatever
+    their names; which rows, and what nulls, empty and long texts, ties,
+    repeated rows and empty tables give, is as in quality_verdicts."""
+    cutoffs = fit_labelled(docs, labels, **options)
+    (f,) = fresh(docs, "f")
+    return docs.withColumn(f, features()).where(F.size(broken(cutoffs, "lang", f)) == 0).select(*map(column, docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

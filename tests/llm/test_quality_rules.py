@@ -2,9 +2,13 @@ import math
 import random
 from collections import Counter
 
-from pointloom.llm.quality_rules import calibrate, certified, fit, quality_filter, quality_verdicts, sequence, upper_bound
+import numpy as np
+import pyarrow as pa
 
-from .helpers import ODD, clashing, frame, words
+from pointloom.llm.features import NAMES, compute
+from pointloom.llm.quality_rules import calibrate, certified, fit, fit_labelled, quality_filter, quality_verdicts, sequence, upper_bound, within_risk
+
+from .helpers import ODD, clashing, frame, untouched, words
 
 
 def test_exact_bound():
@@ -17,6 +21,47 @@ def test_exact_bound():
     assert math.isclose(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), e, rel_tol=1e-6)
 
 
+def test_one_tail_instead_of_the_bound():
+    for n in (0, 1, 50, 217, 1000):
+        for k in range(0, min(n, 40) + 1):
+            for risk, error in ((0.02, 0.0125), (0.1, 0.05)):
+                assert within_risk(k, n, risk, error) == (n > 0 and upper_bound(k, n, error) <= risk), (k, n)
+    assert within_risk(190_000, 10_000_000, 0.02, 0.01) and not within_risk(10_000_000, 10_000_000, 0.02, 0.01)
+
+
+def slow_features(text):
+    """Word by word and sign by sign."""
+    t = text or ""
+    w = [x for x in t.encode().replace(b"\x0b", b" ").replace(b"\x0c", b" ").split(b" ") for x in x.split()]
+    if not w:
+        return [0.0] * len(NAMES)
+    black = b"".join(w)
+    runs = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    return [
+        sum(c in b"#$%&*+<=>@[\\]^_`{|}~!" for c in black) / len(black),
+        sum(65 <= c <= 90 for c in black) / len(black),
+        max(sum(a == b for a, b in zip(w[lag:], w)) for lag in range(1, 9)) / len(w),
+        (len(runs) - len(set(runs))) / max(len(runs), 1),
+        sum(48 <= c <= 57 for c in black) / len(black),
+        sum(len(x) > 40 for x in w) / len(w),
+        math.log1p(len(w)),
+    ]
+
+
+def test_features_like_brute_force():
+    rng = random.Random(8)
+    texts = [t for _, t, *_ in ODD]
+    for _ in range(60):
+        pool = [rng.choice(["a", "Ab", "É!", "#x#", "1,2", "漢字", "y" * 41, "[z]", "w%d" % rng.randrange(99)]) for _ in range(rng.randrange(1, 9))]
+        texts.append(rng.choice([" ", "\n", "\t ", "\x0b"]).join(rng.choice(pool) for _ in range(rng.randrange(0, 120))))
+    line = " ".join(f"l{i}" for i in range(12))
+    texts += ["\n".join([line] * 30), line, (line + " x ") * 2]
+    got = np.array(compute(pa.array(texts, pa.string()))).T
+    assert np.allclose(got, [slow_features(t) for t in texts], atol=1e-12)
+    # a line of twelve words repeated: no short lag sees it
+    assert got[-3][NAMES.index("copied_share")] > 0.9 and got[-3][NAMES.index("repeat_share")] == 0
+
+
 def labelled(n=3000, seed=4):
     rng = random.Random(seed)
     rows, labels = [], []
@@ -74,7 +119,8 @@ def test_odd_rows(spark):
     lab = spark.createDataFrame(labels + odd_labels, "doc_id bigint, quality int, toxic int")
     kept = quality_filter(docs, lab)
     assert kept.columns == docs.columns and kept.where("text is null").count() == 2
-    assert quality_filter(clashing(docs), lab).count() == kept.count()
+    untouched(clashing(docs), quality_filter(clashing(docs), lab), kept.count())
+    assert fit_labelled(docs, lab) == fit(docs, lab)[1]
     assert quality_filter(docs.limit(0), lab).count() == 0
     assert quality_filter(docs, lab.limit(0)).count() == docs.count()
     assert calibrate(fit(docs.limit(0), lab)[0], lab) == {}
