@@ -1,12 +1,17 @@
 """Quality classifier with hierarchical empirical Bayes (operator 9).
 
 A logistic regression on document features, fitted on at most SAMPLE labelled
-documents, gives each document's own evidence. Sites add theirs: the host's
-(source's) share of good documents is a Beta posterior around the global prior,
-whose strength is estimated from the spread between hosts; a path's (language
-section's) is a Beta posterior around its host, with a strength estimated from
-the spread inside hosts. Sparse sites stay near their parent. The site's log
-odds shift the document's.
+documents, gives each document's own evidence. Sites add theirs: a document
+counts by its label where it has one and by its own evidence elsewhere; the
+host's share of good documents is a Beta posterior around the global prior,
+whose strength is estimated from the spread between hosts; a path's is a Beta
+posterior around its host, with a strength estimated from the spread inside
+hosts. Sparse sites stay near their parent. A document is left out of its own
+sites' posteriors, so no evidence counts twice. The site's log odds shift the
+document's.
+
+Hosts and paths are columns of the caller's choice. The test tables' documents
+have no URL: there the source stands for the host and the language for the path.
 
 Sites are sums over grouped documents, so a host of any size is a partial
 aggregate and one small row.
@@ -18,15 +23,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import column, stored
 from .features import NAMES, features
+from .quality_rules import labelled
 
 SAMPLE = 20_000
 CUTOFF, SITE_WEIGHT = 0.5, 0.5
 #: Strengths of the priors in documents are kept inside these.
 STRENGTH = (2.0, 1000.0)
 #: Knots of the linear splines each feature is expanded to.
-KNOTS = {"symbol_share": [0, 0.02, 0.08], "upper_share": [0, 0.1, 0.3], "repeat_share": [0, 0.08, 0.2], "digit_share": [0, 0.1], "long_word_share": [0, 0.1], "log_words": [0, 3, 5]}
+KNOTS = {"symbol_share": [0, 0.02, 0.08], "upper_share": [0, 0.1, 0.3], "repeat_share": [0, 0.08, 0.2], "copied_share": [0, 0.1, 0.3], "digit_share": [0, 0.1], "long_word_share": [0, 0.1], "log_words": [0, 3, 5]}
 
 
 def basis(f: str) -> list[Column]:
@@ -51,11 +57,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
 
 
 def trained(scored: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[float, np.ndarray]:
-    """The regression on at most `sample` labelled documents, drawn by hash.
-    Without documents of both kinds it is the constant 1/2 (or the one kind)."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("y"))
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = scored.join(F.broadcast(drawn), "doc_id").select(F.array(*basis("f")).alias("x"), "y").limit(2 * sample).toPandas()
+    """The regression on at most `sample` labelled documents, drawn by hash. Of
+    rows with one id the one with the smallest features stands for all. Without
+    documents of both kinds it is the constant 1/2 (or the one kind)."""
+    drawn = labelled(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = scored.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min(F.array(*basis("f"))).alias("x"), F.max("__good").alias("y")).orderBy("doc_id").toPandas()
     size = sum(len(KNOTS[n]) for n in NAMES)
     if not len(rows) or rows.y.nunique() < 2:
         share = (rows.y.sum() + 1) / (len(rows) + 2)
@@ -68,23 +74,27 @@ def logit(p: Column) -> Column:
     return F.ln(q / (1 - q))
 
 
-def classified(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, source, lang, p_doc, p_host, p_path, p_good, is_good) of every row.
+def classified(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, sample: int = SAMPLE, host: str = "source", path: str = "lang") -> DataFrame:
+    """(doc_id, host, path, p_doc, p_host, p_path, p_good, is_good) of every row.
 
-    Null sources and languages are sites of their own. Null, empty and blank
-    texts have all features zero and are judged by them and their site.
-    Repeated rows count as often as they occur. Extra columns are ignored; an
-    empty table gives an empty table.
+    Null hosts and paths are sites of their own. Null, empty and blank texts
+    have all features zero and are judged by them and their site. Very long
+    texts are read whole. A p_good equal to the cutoff is good. Repeated rows
+    count as often as they occur; a row that is alone at its site has its
+    parent's share. Extra columns are ignored, whatever their names; an empty
+    table gives an empty table.
     """
-    raw = stored(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), features().alias("f")), "features")
+    raw = stored(docs.select("doc_id", F.coalesce(column(host), F.lit("")).alias("host"), F.coalesce(column(path), F.lit("")).alias("path"), features().alias("f")), "features")
     bias, weights = trained(raw, labels, sample)
     z = F.lit(bias)
     for w, b in zip(weights, basis("f")):
         z = z + F.lit(float(w)) * b
-    scored = raw.select("doc_id", "source", "lang", (1 / (1 + F.exp(-z))).alias("p_doc"))
-    path = stored(scored.groupBy("source", "lang").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("p_doc").alias("good")), "paths")
-    host = path.groupBy("source").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood"))
-    total = host.agg(F.sum("hn"), F.sum("hgood")).first()
+    known = labelled(labels).withColumnRenamed("__good", "y")
+    scored = raw.join(known, "doc_id", "left").select("doc_id", "host", "path", (1 / (1 + F.exp(-z))).alias("p_doc"), F.col("y").cast("double").alias("y"))
+    scored = stored(scored.withColumn("e", F.coalesce("y", "p_doc")), "evidence")
+    paths = stored(scored.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("e").alias("good")), "paths")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood"))
+    total = hosts.agg(F.sum("hn"), F.sum("hgood")).first()
     top = (total[1] / total[0]) if total[0] else 0.5
 
     def strength(groups: DataFrame, n: str, mean: Column, parent: Column) -> float:
@@ -96,13 +106,15 @@ def classified(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, sampl
             return STRENGTH[1]
         return float(np.clip(got[1] / got[0] - 1 if got[0] > 0 else STRENGTH[1], *STRENGTH))
 
-    a = strength(host, "hn", F.col("hgood") / F.col("hn"), F.lit(top))
-    host = host.select("source", ((F.col("hgood") + a * top) / (F.col("hn") + a)).alias("p_host"))
-    sites = path.join(host, "source")
-    b = strength(sites, "n", F.col("good") / F.col("n"), F.col("p_host"))
-    sites = sites.select("source", "lang", "p_host", ((F.col("good") + b * F.col("p_host")) / (F.col("n") + b)).alias("p_path"))
+    a = strength(hosts, "hn", F.col("hgood") / F.col("hn"), F.lit(top))
+    sites = paths.join(hosts, "host")
+    b = strength(sites, "n", F.col("good") / F.col("n"), (F.col("hgood") + a * top) / (F.col("hn") + a))
+    # the document itself left out
+    p_host = (F.col("hgood") - F.col("e") + a * top) / (F.col("hn") - 1 + a)
+    p_path = (F.col("good") - F.col("e") + b * F.col("p_host")) / (F.col("n") - 1 + b)
     final = logit(F.col("p_doc")) + SITE_WEIGHT * (logit(F.col("p_path")) - logit(F.lit(top)))
-    return scored.join(sites, ["source", "lang"]).withColumn("p_good", 1 / (1 + F.exp(-final))).select("doc_id", "source", "lang", "p_doc", "p_host", "p_path", "p_good", (F.col("p_good") >= cutoff).alias("is_good"))
+    out = scored.join(sites, ["host", "path"]).withColumn("p_host", p_host).withColumn("p_path", p_path).withColumn("p_good", 1 / (1 + F.exp(-final)))
+    return out.select("doc_id", "host", "path", "p_doc", "p_host", "p_path", "p_good", (F.col("p_good") >= cutoff).alias("is_good"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
