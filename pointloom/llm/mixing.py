@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, tokens, unit_hash
+from .common import column, fresh, stored, tokens, unit_hash
 
 #: Topics by pattern, first match wins; the rest is "prose".
 TOPICS = {"legal": "[Ll]icen[sc]e|LICEN[SC]E|[Cc]opyright|[Rr]ights reserved", "records": "[0-9]{3}[-.][0-9]{2,3}[-.]|[0-9]{13,}|[a-z0-9]@[a-z]", "tabular": " \\| "}
@@ -65,51 +65,66 @@ def rake(cells: pd.DataFrame, targets: dict = TARGETS, rounds: int = ROUNDS, kee
     return cells.assign(weight=weight, p=p)
 
 
-def cell_columns(topics: dict[str, str] = TOPICS) -> dict[str, Column]:
-    return {"__source": F.coalesce("source", F.lit("")), "__lang": F.coalesce("lang", F.lit("")), "__topic": topic("text", topics)}
-
-
-def fitted_cells(rows: DataFrame, targets: dict = TARGETS, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
-    """(__source, __lang, __topic, __weight, __p) from rows (the three, tokens).
+def fitted_cells(rows: DataFrame, names: list[str], targets: dict = TARGETS, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
+    """(source, lang, topic, weight, p) from rows with source, lang, topic and
+    tokens in the columns `names`.
 
     The corpus is reduced to cells by a partial aggregate first; raking works
     on the cells alone, in one task: their number is that of the combinations
     of source, language and topic that occur, not of documents.
     """
-    cells = rows.groupBy("__source", "__lang", "__topic").agg(F.sum("tokens").cast("double").alias("total"))
+    cells = rows.groupBy(*[F.col(n).alias(m) for n, m in zip(names, MARGINS)]).agg(F.sum(names[3]).cast("double").alias("total"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.rename(columns=lambda c: c.strip("_")).sort_values(list(MARGINS), ignore_index=True)
-        done = rake(part, targets, rounds, keep)
-        return pd.DataFrame({"__source": done.source, "__lang": done.lang, "__topic": done.topic, "__weight": done.weight, "__p": done.p})
+        done = rake(part.sort_values(list(MARGINS), ignore_index=True), targets, rounds, keep)
+        return done[[*MARGINS, "weight", "p"]]
+
+    return cells.groupBy().applyInPandas(run, "source string, lang string, topic string, weight double, p double")
 
-    return cells.groupBy().applyInPandas(run, "__source string, __lang string, __topic string, __weight double, __p double")
+
+def _drawn(docs: DataFrame, names: list[str], carry: list[str], targets: dict, topics: dict[str, str], keep: float, seed: str) -> DataFrame:
+    """The columns `carry` of docs and topic, tokens, weight, p and is_kept in
+    five columns called as given.
+
+    Patterns are matched once: topics and tokens are stored with the columns
+    carried, then raking and the draw read that table.
+    """
+    kind, size, weight, p, kept = names
+    source, lang, draw = fresh(docs.withColumns({n: F.lit(0) for n in names}), "source", "lang", "draw")
+    chance = unit_hash(F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")), seed)
+    made = {source: F.coalesce("source", F.lit("")), lang: F.coalesce("lang", F.lit("")), kind: topic("text", topics), size: tokens(), draw: chance}
+    rows = stored(docs.select(*map(column, carry), *[c.alias(n) for n, c in made.items()]), "topics")
+    cells = stored(fitted_cells(rows, [source, lang, kind, size], targets, ROUNDS, keep), "cells").toDF(source, lang, kind, weight, p)
+    return rows.join(cells, [source, lang, kind], "left").withColumn(kept, F.col(draw) < F.col(p)).select(*map(column, carry), *names)
 
 
-def sampled(docs: DataFrame, targets: dict = TARGETS, topics: dict[str, str] = TOPICS, keep: float = KEEP, seed: str = SEED) -> DataFrame:
-    """docs with topic, tokens, weight, p and is_kept.
+def sampled(docs: DataFrame, targets: dict = TARGETS, topics: dict[str, str] = TOPICS, keep: float = KEEP, seed: str = SEED, columns: list[str] | None = None) -> DataFrame:
+    """docs (all its columns, or those named) with topic, tokens, weight, p and
+    is_kept.
 
     Null sources and languages are the value "". A null or empty text has no
-    tokens and is prose; its cell may have weight 0, then it is not kept. The
-    draw depends on the id and, where that is null, on the text, so repeated
-    rows share their fate. Columns of the five names are replaced; an empty
-    table gives an empty table.
+    tokens and is prose; its cell may have weight 0, then it is not kept. Texts
+    of any length are matched whole. The draw depends on the id and, where that
+    is null, on the text, so repeated rows share their fate. Cells of equal
+    weight are treated alike. Other columns pass through; columns of the five
+    names are replaced. An empty table gives an empty table.
     """
-    docs = docs.drop("topic", "tokens", "weight", "p", "is_kept").withColumns(cell_columns(topics) | {"tokens": tokens()})
-    cells = stored(fitted_cells(docs.select("__source", "__lang", "__topic", "tokens"), targets, ROUNDS, keep), "cells")
-    joined = docs.join(cells, ["__source", "__lang", "__topic"], "left")
-    draw = unit_hash(F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")), seed)
-    return joined.withColumns({"topic": F.col("__topic"), "weight": F.col("__weight"), "p": F.col("__p"), "is_kept": draw < F.col("__p")}).drop("__source", "__lang", "__topic", "__weight", "__p")
+    names = ["topic", "tokens", "weight", "p", "is_kept"]
+    docs = docs.drop(*names)
+    return _drawn(docs, names, columns or docs.columns, targets, topics, keep, seed)
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents drawn, columns as given; see sampled."""
-    return sampled(docs, **options).where("is_kept").select(docs.columns)
+def mix(docs: DataFrame, targets: dict = TARGETS, topics: dict[str, str] = TOPICS, keep: float = KEEP, seed: str = SEED) -> DataFrame:
+    """The documents drawn, all columns as given, whatever their names; which
+    documents, and what nulls, empty and long texts, ties, repeated rows and
+    empty tables give, is as in sampled."""
+    names = fresh(docs, "topic", "tokens", "weight", "p", "is_kept")
+    return _drawn(docs, names, docs.columns, targets, topics, keep, seed).where(F.col(names[4])).select(*map(column, docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return sampled(docs).select("doc_id", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("p", 6).alias("p"), "is_kept")
+    return sampled(docs, columns=["doc_id"]).select("doc_id", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("p", 6).alias("p"), "is_kept")
 
 
 def _sql() -> str:
