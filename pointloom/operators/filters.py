@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import AXES, knn, kth_distance, pairs_within, within
+from .ranking import first_n
+from .spatial import AXES, PER_POINT, kth_distance, neighbours, pairs_within, within
 
 # The rules of the neighbourhood filters, one place each.
 #: A statistical inlier's mean distance is above 0 and below the threshold.
@@ -46,16 +47,39 @@ def select_by_index(cloud: DataFrame, ids: DataFrame) -> DataFrame:
     return cloud.join(ids.select("pid").distinct(), "pid", "left_semi").select(cloud.columns)
 
 
+def draw(key: str, seed: int, what: int = 0) -> Column:
+    """A number of 60 bits from an MD5, the same in every engine."""
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}:{what}")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def sample(cloud: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Exactly n points without replacement (all if there are no more), the
-    same for any partitioning."""
-    return cloud.orderBy(F.xxhash64("pid", F.lit(seed)), "pid").limit(n)
+    same for any partitioning.
+
+    The n smallest draws are asked for. A cutoff that n draws stay under but
+    for one case in 10^9 thins the cloud first; what is left is sorted by
+    ranges, of which only the last is cut, so no task sees all of the sample.
+    """
+    size = cloud.count()
+    if size <= n:
+        return cloud
+    (name,) = [f"__draw_{seed}"]
+    drawn = cloud.withColumn(name, draw("pid", seed))
+    few = (n + 6 * n**0.5 + 20) / size
+    if few < 1:
+        thin = drawn.where(F.col(name) < F.lit(int(few * (1 << 60))))
+        got = first_n(thin, [name, "pid"], n)
+        if got is not None:
+            return got.drop(name)
+    return first_n(drawn, [name, "pid"], n).drop(name)
 
 
 def statistical_outliers(cloud: DataFrame, k: int = 25, std: float = 2.0) -> DataFrame:
     """Keep points whose mean distance to the k nearest points (itself counted
     as one, at 0) is below the mean plus std sample deviations of all."""
-    mean = knn(cloud, cloud, k).groupBy("pid").agg(F.avg(F.sqrt("d2")).alias("m"))
+    total = F.aggregate("near", F.lit(0.0), lambda s, x: s + F.sqrt(x["d2"]))
+    mean = neighbours(cloud, cloud, k).select("pid", (total / F.size("near")).alias("m"))
     limit = mean.agg((F.avg("m") + F.lit(float(std)) * F.stddev_samp("m")).alias("thr"))
     return select_by_index(cloud, mean.join(F.broadcast(limit)).where(SOR_KEEP))
 
@@ -77,7 +101,7 @@ def knn_percentile(cloud: DataFrame, k: int = 16, pct: float = 97.0, scale: floa
 def radius_outliers(cloud: DataFrame, min_points: int = 16, radius: float = 0.20) -> DataFrame:
     """Keep points with more than min_points points, itself counted, nearer
     than radius."""
-    count = pairs_within(cloud, cloud, radius).groupBy(F.col("a_pid").alias("pid")).agg(F.count(F.lit(1)).alias("n"))
+    count = pairs_within(cloud, cloud, radius).groupBy(*PER_POINT).agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("a_pid", "pid")
     return select_by_index(cloud, count.where(ROR_KEEP.format(min_points=min_points)))
 
 

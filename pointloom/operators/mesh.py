@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .filters import draw
+
 AXES = ("x", "y", "z")
 CORNERS = ("i0", "i1", "i2")
 
@@ -101,26 +103,28 @@ def clean(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
     return vertices, drop_nonmanifold_faces(vertices, faces)
 
 
+#: Blocks of faces whose running sums of area are made apart.
+BLOCKS = 4096
+
+
 def sample_surface(vertices: DataFrame, faces: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Exactly n points (pid, x, y, z, fid), uniform over the surface; none for
     a mesh without area. Each face gets the whole points between the rounded
-    running shares of area. Running sums go by blocks of faces: only one small
-    row per block meets in one task."""
-    blocks = int(faces.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    sized = triangles(vertices, faces).select("fid", "a", "b", "c", face_area().alias("area")).withColumn("block", F.pmod(F.xxhash64("fid"), F.lit(blocks)))
+    running shares of area. Running sums go by blocks of faces (of fid): only
+    one small row per block, BLOCKS at most, meets in one task."""
+    sized = triangles(vertices, faces).select("fid", "a", "b", "c", face_area().alias("area")).withColumn("block", F.pmod("fid", F.lit(BLOCKS)))
     block = sized.groupBy("block").agg(F.sum("area").alias("whole"))
     order = Window.orderBy("block")
     before = block.select("block", (F.sum("whole").over(order) - F.col("whole")).alias("start"), F.sum("whole").over(Window.partitionBy()).alias("total"))
     inside = Window.partitionBy("block").orderBy("fid")
-    run = sized.join(F.broadcast(before), "block").withColumn("upto", F.col("start") + F.sum("area").over(inside)).withColumn("lead", F.col("upto") - F.col("area"))
+    run = sized.join(F.broadcast(before), "block").withColumn("upto", F.col("start") + F.sum("area").over(inside))
     # the last running share of a block is the next block's start, whatever the rounding
     last = F.row_number().over(Window.partitionBy("block").orderBy(F.col("fid").desc())) == 1
-    first = F.row_number().over(inside) == 1
-    nxt = before.select(F.col("block"), F.lead("start", 1).over(order).alias("next"))
-    run = run.join(F.broadcast(nxt), "block").withColumn("hi", F.when(last, F.coalesce("next", "total")).otherwise(F.col("upto"))).withColumn("lo", F.when(first, F.col("start")).otherwise(F.col("lead")))
+    nxt = before.select("block", F.lead("start", 1).over(order).alias("next"))
+    run = run.join(F.broadcast(nxt), "block").withColumn("hi", F.when(last, F.coalesce("next", "total")).otherwise(F.col("upto"))).withColumn("lo", F.coalesce(F.lag("upto").over(inside), "start"))
     share = lambda c: F.round(F.lit(float(n)) * F.col(c) / F.col("total")).cast("long")
     counted = run.where("total > 0").withColumns({"k0": share("lo"), "k1": share("hi")}).where("k1 > k0")
     point = counted.select("fid", "a", "b", "c", F.explode(F.sequence(F.col("k0"), F.col("k1") - 1)).alias("pid"))
-    uniform = lambda s: (F.pmod(F.xxhash64("pid", F.lit(seed), F.lit(s)), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
+    uniform = lambda s: (draw("pid", seed, s) + F.lit(0.5)) / F.lit(float(1 << 60))
     r, q = F.sqrt(uniform(1)), uniform(2)
     return point.select("pid", *[((1 - r) * F.col(f"a.{k}") + r * (1 - q) * F.col(f"b.{k}") + r * q * F.col(f"c.{k}")).alias(k) for k in AXES], "fid")

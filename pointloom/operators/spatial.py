@@ -1,12 +1,20 @@
-"""Spatial joins of clouds on a grid.
-
-A distance predicate alone plans as a nested loop over all pairs. Here points
-get integer cells, one side is copied to the 27 cells around its own, and the
-join is an equality of cells with the squared distance as a residual, so it
-shuffles by cell and AQE can split skewed cells. The copied side's size is not
-seen by the planner, so these joins ask for a sort-merge join instead of being
-broadcast by mistake. Neighbour searches without a radius start at cells that
-hold about one neighbourhood and double them for the rows that are not settled.
+"""Spatial joins of clouds on a lattice.
+
+A distance predicate alone plans as a nested loop over all pairs. Here space is
+covered by blocks of 2 x 2 x 2 cells, one around every lattice corner. A point
+that asks belongs to the block of its nearest corner, which reaches at least
+half its width to all sides; a point that may answer is copied to the eight
+blocks its cell is part of. The join is an equality of corners with the squared
+distance as a residual. All answers of a point meet in one block, so whatever
+is computed for each asking point - the nearest, a count, the k best - needs no
+shuffle beyond that of the join, and pairs never travel. The copied side's size
+is not seen by the planner, so these joins ask for a sort-merge join instead of
+being broadcast by mistake.
+
+Neighbour searches without a radius start at cells that hold about two
+neighbourhoods. Points with fewer than k others inside their block's reach go on
+with larger blocks, by what they have found, until they have them. Rounds after
+the first copy only what the blocks still asked for can hold.
 """
 
 from __future__ import annotations
@@ -16,14 +24,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import discard, stored
 
 AXES = ("x", "y", "z")
-CELL = ("cx", "cy", "cz")
-#: Guards cell borders against rounding.
+CORNER = ("vx", "vy", "vz")
+#: Guards block borders against rounding.
 SLACK = 1 + 1e-9
-#: Searches of no more pairs than this compare all of them instead of growing cells.
-FEW_PAIRS = 4_000_000
 
 
 def d2(a: str = "a", b: str = "b") -> Column:
@@ -31,31 +37,49 @@ def d2(a: str = "a", b: str = "b") -> Column:
     return sum(((F.col(f"{a}_{c}") - F.col(f"{b}_{c}")) * (F.col(f"{a}_{c}") - F.col(f"{b}_{c}")) for c in AXES), F.lit(0.0))
 
 
-def celled(cloud: DataFrame, prefix: str, size: float, around: bool) -> DataFrame:
-    """Columns prefix_pid, prefix_x, .. and the cell; with `around`, one copy
-    for each of the 27 cells at and next to it."""
-    at = [F.floor(F.col(c) / F.lit(size)).cast("long") for c in AXES]
-    points = cloud.select(F.col("pid").alias(f"{prefix}_pid"), *[F.col(c).alias(f"{prefix}_{c}") for c in AXES], *[c.alias(n) for n, c in zip(CELL, at)])
-    if not around:
-        return points
-    for n in CELL:
-        points = points.withColumn(n, F.explode(F.array(F.col(n) - 1, F.col(n), F.col(n) + 1)))
+def asking(cloud: DataFrame, prefix: str, size: Column) -> DataFrame:
+    """Columns prefix_pid, prefix_x, .., the nearest lattice corner, and any
+    other columns of cloud."""
+    at = {n: F.floor(F.col(c) / size + 0.5).cast("long") for n, c in zip(CORNER, AXES)}
+    return cloud.withColumns(at).withColumnsRenamed({c: f"{prefix}_{c}" for c in ("pid", *AXES)})
+
+
+def answering(cloud: DataFrame, prefix: str, size: Column) -> DataFrame:
+    """Columns as of `asking`, one copy for each of the eight corners of the
+    point's cell."""
+    at = {n: F.floor(F.col(c) / size).cast("long") for n, c in zip(CORNER, AXES)}
+    points = cloud.withColumns(at).withColumnsRenamed({c: f"{prefix}_{c}" for c in ("pid", *AXES)})
+    for n in CORNER:
+        points = points.withColumn(n, F.explode(F.array(F.col(n), F.col(n) + 1)))
     return points
 
 
+def _near(radius: float, strict: bool = True) -> Column:
+    return d2() < radius * radius if strict else d2() <= radius * radius
+
+
+def _width(radius: float) -> Column:
+    """Blocks of this cell size reach `radius` around each of their points."""
+    return F.lit(2.0 * radius * SLACK)
+
+
 def pairs_within(left: DataFrame, right: DataFrame, radius: float, strict: bool = True) -> DataFrame:
-    """All pairs (a_pid, b_pid, d2, coordinates) nearer than radius (or at it,
-    if not strict)."""
-    size = radius * SLACK
-    a, b = celled(left, "a", size, True), celled(right, "b", size, False)
-    near = d2() < radius * radius if strict else d2() <= radius * radius
-    return a.join(b.hint("merge"), list(CELL)).where(near).withColumn("d2", d2()).drop(*CELL)
+    """All pairs (a_pid, b_pid, d2, coordinates, corner) nearer than radius (or
+    at it, if not strict). Rows of one a_pid have one corner and lie in one
+    partition: group by PER_POINT to keep it so."""
+    a = asking(left.select("pid", *AXES), "a", _width(radius))
+    b = answering(right.select("pid", *AXES), "b", _width(radius))
+    return a.join(b.hint("merge"), list(CORNER)).where(_near(radius, strict)).withColumn("d2", d2())
+
+
+#: Grouping keys of pairs by asking point that need no shuffle of their own.
+PER_POINT = (*CORNER, "a_pid")
 
 
 def nearest_within(query: DataFrame, target: DataFrame, radius: float) -> DataFrame:
     """(pid, nid, d2): the nearest target nearer than radius of each query
     point that has one; ties go to the smallest nid."""
-    best = pairs_within(query, target, radius).groupBy("a_pid").agg(F.min(F.struct("d2", "b_pid")).alias("best"))
+    best = pairs_within(query, target, radius).groupBy(*PER_POINT).agg(F.min(F.struct("d2", "b_pid")).alias("best"))
     return best.select(F.col("a_pid").alias("pid"), F.col("best.b_pid").alias("nid"), F.col("best.d2").alias("d2"))
 
 
@@ -73,89 +97,112 @@ def nn_truncated(reference: DataFrame, query: DataFrame, truncation: float, igno
 
 
 def within(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
-    """The points with another cloud's point nearer than radius (semi-join)."""
-    hit = pairs_within(points, others, radius).select(F.col("a_pid").alias("pid")).distinct()
-    return points.join(hit, "pid", "left_semi").select(points.columns)
+    """The points with another cloud's point nearer than radius: one semi-join
+    that carries the points' columns along."""
+    whole = points.select("pid", *AXES, F.struct(*points.columns).alias("a_row"))
+    a, b = asking(whole, "a", _width(radius)), answering(others.select("pid", *AXES), "b", _width(radius)).hint("merge")
+    same = [a[n] == b[n] for n in CORNER]
+    near = sum(((a[f"a_{c}"] - b[f"b_{c}"]) * (a[f"a_{c}"] - b[f"b_{c}"]) for c in AXES), F.lit(0.0)) < radius * radius
+    return a.join(b, [*same, near], "left_semi").select("a_row.*")
 
 
 def within_all(points: DataFrame, clouds: DataFrame, radius: float, by: str = "cloud_id") -> DataFrame:
     """The points with a point nearer than radius in every cloud of `clouds`
     (told apart by a column): one join and a count of distinct clouds."""
-    size = radius * SLACK
-    a = celled(points, "a", size, True)
-    at = [F.floor(F.col(c) / F.lit(size)).cast("long").alias(n) for n, c in zip(CELL, AXES)]
-    b = clouds.select(F.col(by).alias("__cloud"), *[F.col(c).alias(f"b_{c}") for c in AXES], *at)
-    met = a.join(b.hint("merge"), list(CELL)).where(d2() < radius * radius).groupBy("a_pid").agg(F.countDistinct("__cloud").alias("met"))
+    a = asking(points.select("pid", *AXES), "a", _width(radius))
+    b = answering(clouds.select("pid", *AXES, F.col(by).alias("__cloud")), "b", _width(radius))
+    met = a.join(b.hint("merge"), list(CORNER)).where(_near(radius)).groupBy(*PER_POINT).agg(F.countDistinct("__cloud").alias("met"))
     every = clouds.agg(F.countDistinct(by).alias("every"))
     hit = met.join(F.broadcast(every)).where("met = every").select(F.col("a_pid").alias("pid"))
     return points.join(hit, "pid", "left_semi").select(points.columns)
 
 
-def _first_cell(target: DataFrame, k: int) -> tuple[float, float, int]:
-    """A cell size at which occupied cells hold about k / 4 points, the
-    diagonal of the cloud and its size: one pass with distinct-count sketches."""
-    ends = target.agg(*[f(c) for c in AXES for f in (F.min, F.max)], F.count(F.lit(1))).first()
-    n = ends[6]
-    if not n:
-        return 1.0, 0.0, 0
-    span = [ends[2 * i + 1] - ends[2 * i] for i in range(3)]
-    diagonal = math.sqrt(sum(s * s for s in span)) or 1.0
-    sizes = [diagonal / 2**i for i in range(1, 13)]
-    key = lambda s: F.struct(*[F.floor(F.col(c) / F.lit(s)) for c in AXES])
-    held = target.agg(*[F.approx_count_distinct(F.xxhash64(key(s))) for s in sizes]).first()
-    good = [s for s, c in zip(sizes, held) if n / max(c, 1) >= max(2.0, k / 4)]
-    return (good[-1] if good else sizes[0]), diagonal, n
-
-
-def knn(query: DataFrame, target: DataFrame, k: int) -> DataFrame:
-    """(pid, rank, nid, d2): the k nearest target points of every query point,
-    rank from 1, ties by nid; all of them where the target has fewer.
-
-    A row is settled when its k-th neighbour is no farther than a cell; the
-    others go on with cells of twice the size, at most until a cell spans both
-    clouds, or at once with such a cell where few pairs remain. Settled rows are
+def _cell(target: DataFrame, k: int, n: int, diagonal: float) -> float:
+    """A cell size at which occupied cells hold about 2 k points on average.
+    Cells are counted with one sketch for each halving of the diagonal, from
+    the first that can have as many cells, in batches until they are that many;
+    between two halvings the size is interpolated."""
+    if diagonal <= 0:
+        return 1.0
+    key = lambda s: F.xxhash64(*[F.floor(F.col(c) / F.lit(s)) for c in AXES])
+    start = max(0, int(math.log(max(n / (2 * k), 1), 8)))
+    sizes, held = [], []
+    # a double has 52 bits of place
+    while (not held or held[-1] >= 2 * k) and len(sizes) < 48:
+        batch = [diagonal / 2**i for i in range(start + len(sizes), start + len(sizes) + 8)]
+        cells = target.agg(*[F.approx_count_distinct(key(s)) for s in batch]).first()
+        sizes, held = sizes + batch, held + [n / max(c, 1) for c in cells]
+    best = max((i for i, h in enumerate(held) if h >= 2 * k), default=0)
+    if best + 1 < len(sizes) and held[best] > 1.15 * held[best + 1]:
+        # the cloud's dimension here: a power of the size
+        power = math.log2(held[best] / held[best + 1])
+        return sizes[best] * min(1.0, max(0.5, (2 * k / held[best]) ** (1 / power)))
+    return sizes[best]
+
+
+def neighbours(query: DataFrame, target: DataFrame, k: int) -> DataFrame:
+    """(pid, near): the k nearest target points of every query point as an array
+    of (d2, nid) in this order; all of them where the target has fewer. An
+    empty target gives no rows.
+
+    Only what is no farther than a point's block reaches is ranked, so a point
+    is settled as soon as it has k. The others go on with larger blocks: the
+    number found tells by how much, assuming a surface. Settled rows are
     written out round by round.
     """
-    size, diagonal, n = _first_cell(target, k)
-    if n == 0:
-        return query.sparkSession.createDataFrame([], "pid bigint, rank int, nid bigint, d2 double")
+    both = query.select(F.lit(False).alias("t"), *AXES).unionByName(target.select(F.lit(True).alias("t"), *AXES))
+    own = [F.when(F.col("t"), F.col(c)) for c in AXES]
+    ends = both.agg(F.count_if("t"), *[f(c) for c in own for f in (F.min, F.max)]).first()
+    n = ends[0]
+    if not n:
+        return query.sparkSession.createDataFrame([], "pid bigint, near array<struct<d2: double, nid: bigint>>")
+    size = _cell(target, k, n, math.sqrt(sum((ends[2 * i + 2] - ends[2 * i + 1]) ** 2 for i in range(3))))
     want = min(k, n)
-    query = query.select("pid", *AXES)
-    ends = query.unionByName(target.select(query.columns)).agg(*[f(c) for c in AXES for f in (F.min, F.max)], F.count(F.lit(1))).first()
-    reach = math.sqrt(sum((ends[2 * i + 1] - ends[2 * i]) ** 2 for i in range(3))) if ends[0] is not None else 0.0
-    order = Window.partitionBy("a_pid").orderBy("d2", "b_pid")
-    if (ends[6] - n) * n <= FEW_PAIRS:
-        size = max(size, reach)
-    done, left = [], query
-    while True:
-        last = size >= reach
-        a, b = celled(left, "a", size * SLACK, True), celled(target, "b", size * SLACK, False)
-        met = a.join(b.hint("merge"), list(CELL)).withColumn("d2", d2()).select("a_pid", "b_pid", "d2")
-        ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= want)
-        ranked = stored(ranked, "ranked")
-        if last:
-            done.append(ranked)
-            break
-        settled = ranked.where((F.col("rank") == want) & (F.col("d2") <= size * size)).select("a_pid")
-        done.append(ranked.join(settled, "a_pid", "left_semi"))
-        left = left.join(settled, left.pid == settled.a_pid, "left_anti")
-        rest = left.count()
-        if not rest:
-            break
-        size = max(2 * size, reach) if rest * n <= FEW_PAIRS else 2 * size
+    # levels are half doublings of the size
+    width = F.lit(size) * F.pow(F.lit(2.0), F.col("lv") / 2)
+    left, levels, done = query.select("pid", *AXES, F.lit(0).alias("lv")), [0], []
+    keys = ["lv", *CORNER]
+    mine = [*keys, "a_pid", "reach"]
+    while levels:
+        a = asking(left, "a", width)
+        a = a.withColumn("reach", F.least(*[width - F.abs(F.col(f"a_{c}") - F.col(v) * width) for c, v in zip(AXES, CORNER)]) / SLACK)
+        b = answering(target.select("pid", *AXES, F.explode(F.array(*map(F.lit, levels))).alias("lv")), "b", width)
+        if done or query is not target:  # where blocks are few, Catalyst broadcasts them and little is copied
+            b = b.join(a.select(*keys).distinct(), keys, "left_semi")
+        met = a.join(b.hint("merge"), keys).withColumn("d2", d2()).where(F.col("d2") <= F.col("reach") * F.col("reach")).select(*mine, "d2", "b_pid")
+        rank = F.row_number().over(Window.partitionBy(*mine).orderBy("d2", "b_pid"))
+        best = met.withColumn("rank", rank).where(F.col("rank") <= want).groupBy(*mine).agg(F.sort_array(F.collect_list(F.struct("d2", F.col("b_pid").alias("nid")))).alias("near"))
+        found = stored(best.select("a_pid", "near", "reach", F.size("near").alias("n")), "near")
+        done.append(found.where(F.col("n") == want).select(F.col("a_pid").alias("pid"), "near"))
+        # the radius that should hold a fifth more than asked, on a surface
+        radius = F.col("reach") * F.sqrt(F.lit(1.2 * want) / F.col("n"))
+        enough = F.round(F.log2(radius * (2.0 / size)) * 2).cast("int")
+        more = F.greatest(F.col("lv") + 1, F.coalesce(enough, F.col("lv") + 2))
+        before = left
+        left = left.join(found.select("a_pid", "reach", "n"), F.col("pid") == F.col("a_pid"), "left").where(F.coalesce(F.col("n"), F.lit(0)) < want).select("pid", *AXES, more.alias("lv"))
+        left = stored(left, "left")
+        levels = [r.lv for r in left.select("lv").distinct().collect()]
+        discard(before)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select(F.col("a_pid").alias("pid"), "rank", F.col("b_pid").alias("nid"), "d2")
+    return out
+
+
+def knn(query: DataFrame, target: DataFrame, k: int) -> DataFrame:
+    """(pid, rank, nid, d2): neighbours by rows, rank from 1, ties by nid."""
+    rows = neighbours(query, target, k).select("pid", F.posexplode("near").alias("rank", "n"))
+    return rows.select("pid", (F.col("rank") + 1).alias("rank"), "n.nid", "n.d2")
 
 
 def nearest(query: DataFrame, target: DataFrame) -> DataFrame:
     """(pid, nid, dist): the nearest target point at any distance. An empty
     target gives no rows."""
-    return knn(query, target, 1).select("pid", "nid", F.sqrt("d2").alias("dist"))
+    first = F.col("near")[0]
+    return neighbours(query, target, 1).select("pid", first["nid"].alias("nid"), F.sqrt(first["d2"]).alias("dist"))
 
 
 def kth_distance(cloud: DataFrame, k: int) -> DataFrame:
     """(pid, dk): distance to the k-th neighbour, or the farthest where there
     are fewer, the point itself not counted."""
-    return knn(cloud, cloud, k + 1).groupBy("pid").agg(F.sqrt(F.max("d2")).alias("dk"))
+    return neighbours(cloud, cloud, k + 1).select("pid", F.sqrt(F.element_at("near", -1)["d2"]).alias("dk"))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import grid_dims, voxel_index
@@ -100,8 +98,6 @@ def boundary_midpoints(occupied: DataFrame, dims: DataFrame) -> DataFrame:
     return inside.join(full, [f"n{i}" for i in INDEX], "left_anti").select(*INDEX, "s.axis", "s.dir")
 
 
-# ---------------------------------------------------------------- surfaces
-
 #: Corner k of a cube is at (k & 1, k >> 1 & 1, k >> 2 & 1).
 EDGES = [(a, b) for a in range(8) for b in range(a + 1, 8) if bin(a ^ b).count("1") == 1]
 _EDGE = {e: i for i, e in enumerate(EDGES)}
@@ -150,43 +146,74 @@ def cases() -> list[list[tuple[int, int, int]]]:
     return [_case(k) for k in range(256)]
 
 
-def surface(grid: DataFrame, voxel: float, origin: tuple[float, float, float], level: float = 0.0, value: str = "sdf", step: int = 1, cell_center: bool = False) -> DataFrame:
-    """Triangles of the level set: (tid, corner, edge, x, y, z), three rows a
-    triangle; `edge` names the grid edge a corner lies on, so equal edges are
-    one vertex. Only cubes with corners on both sides are built. Samples lie at
-    the cells' lower corners unless cell_center."""
+def case_rows() -> list[tuple[int, int, int, int, int]]:
+    """(mask, triangle, corner, edge's first cube corner, its axis) of every case."""
+    out = []
+    for mask, tris in enumerate(cases()):
+        for t, tri in enumerate(tris):
+            for corner, e in enumerate(tri):
+                a, b = EDGES[e]
+                out.append((mask, t, corner, a, (a ^ b).bit_length() - 1))
+    return out
+
+
+def _packed(x: Column, y: Column, z: Column) -> Column:
+    """Three indices below 2^20 in one number."""
+    return F.shiftleft(x.cast("long"), 40) + F.shiftleft(y.cast("long"), 20) + z
+
+
+def _soup(cubes: DataFrame, share: Column, voxel: float, origin: tuple[float, float, float], step: int, cell_center: bool) -> DataFrame:
+    """Triangle corners of cubes (ix, iy, iz, mask, ..). `share` is where the
+    surface crosses an edge from cube corner `a` along `axis`. The table of
+    cases is a few thousand rows at any size of the grid."""
+    table = cubes.sparkSession.createDataFrame(case_rows(), "mask int, t int, corner int, a int, axis int")
+    base = [F.col(i) + F.shiftright("a", k).bitwiseAND(1) for k, i in enumerate(INDEX)]
+    shift = 0.5 if cell_center else 0.0
+    at = [F.lit(float(o)) + (b + F.when(F.col("axis") == k, share).otherwise(0.0) + shift) * (voxel * step) for k, (o, b) in enumerate(zip(origin, base))]
+    rows = cubes.join(F.broadcast(table), "mask")
+    return rows.select((_packed(*map(F.col, INDEX)) * 8 + F.col("t")).alias("tid"), "corner", (_packed(*base) * 3 + F.col("axis")).alias("edge"), *[p.alias(n) for p, n in zip(at, "xyz")])
+
+
+def surface(grid: DataFrame, voxel: float, origin: tuple[float, float, float], level: float = 0.0, value: str = "sdf", step: int = 1, cell_center: bool = False, slope: float | None = None) -> DataFrame:
+    """Triangles of the level set of a dense grid: (tid, corner, edge, x, y, z),
+    three rows a triangle; `edge` names the grid edge a corner lies on, so equal
+    edges are one vertex. Only cubes with corners on both sides are built.
+    Samples lie at the cells' lower corners unless cell_center.
+
+    With `slope`, the most that the value changes over a length of one (2 for a
+    signed distance), cells too far from the level for their cubes to reach it
+    are left out before anything is shuffled.
+    """
     kept = grid.where(" and ".join(f"{i} % {step} = 0" for i in INDEX)) if step > 1 else grid
+    if slope is not None:
+        kept = kept.where(F.abs(F.col(value) - F.lit(level)) <= slope * 3**0.5 * voxel * step * (1 + 1e-9))
     low = kept.select(*[(F.col(i) / step).cast("int").alias(i) for i in INDEX], F.col(value).alias("v"))
     offset = F.array(*[F.struct(*[F.lit(k >> a & 1).alias(f"d{a}") for a in range(3)], F.lit(k).alias("k")) for k in range(8)])
     spread = low.select(*INDEX, "v", F.explode(offset).alias("o"))
     cube = spread.select(*[(F.col(i) - F.col(f"o.d{a}")).alias(i) for a, i in enumerate(INDEX)], "v", F.col("o.k").alias("k"))
     whole = cube.groupBy(*INDEX).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.array_sort(F.collect_list(F.struct("k", "v"))).alias("c"))
     mixed = whole.where((F.col("n") == 8) & (F.col("lo") < level) & (F.col("hi") >= level)).select(*INDEX, F.col("c.v").alias("c"))
-    shift = 0.5 if cell_center else 0.0
+    mask = sum((F.when(F.col("c")[k] < level, 1 << k).otherwise(0) for k in range(8)), F.lit(0))
+    first, second = F.element_at("c", F.col("a") + 1), F.element_at("c", F.col("a") + F.pow(F.lit(2), F.col("axis")).cast("int") + 1)
+    return _soup(mixed.withColumn("mask", mask), (F.lit(level) - first) / (second - first), voxel, origin, step, cell_center)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = cases()
-        for pdf in batches:
-            rows = []
-            for ix, iy, iz, c in pdf.itertuples(index=False):
-                mask = sum(1 << k for k in range(8) if c[k] < level)
-                for t, tri in enumerate(table[mask]):
-                    for corner, e in enumerate(tri):
-                        a, b = EDGES[e]
-                        w = (level - c[a]) / (c[b] - c[a])
-                        base = [ix + (a & 1), iy + (a >> 1 & 1), iz + (a >> 2 & 1)]
-                        axis = (a ^ b).bit_length() - 1
-                        p = [float(q) for q in base]
-                        p[axis] += w
-                        place = [o + (q + shift) * voxel * step for o, q in zip(origin, p)]
-                        rows.append((f"{ix},{iy},{iz},{t}", corner, f"{base[0]},{base[1]},{base[2]},{axis}", *place))
-            yield pd.DataFrame(rows, columns=["tid", "corner", "edge", "x", "y", "z"])
-
-    return mixed.mapInPandas(run, "tid string, corner int, edge string, x double, y double, z double")
+def occupancy_surface(occupied: DataFrame, dims: DataFrame, voxel: float, cell_center: bool = False) -> DataFrame:
+    """The zero level of the signed distance of occupied cells, unsmoothed,
+    without a dense grid: across a side between an occupied and an empty cell
+    the distance goes from minus to plus one cell, so the surface crosses in
+    the middle. Only cubes at occupied cells are built; their cases are the
+    union of their cells' bits."""
+    d = dims.first()
+    offset = F.array(*[F.struct(*[F.lit(k >> a & 1).alias(f"d{a}") for a in range(3)], F.lit(1 << k).alias("bit")) for k in range(8)])
+    cube = occupied.select(*INDEX, F.explode(offset).alias("o")).select(*[(F.col(i) - F.col(f"o.d{a}")).alias(i) for a, i in enumerate(INDEX)], F.col("o.bit").alias("bit"))
+    inside = cube.where(" and ".join(f"{i} >= 0 and {i} < {n - 1}" for i, n in zip(INDEX, (d.nx, d.ny, d.nz))))
+    cubes = inside.groupBy(*INDEX).agg(F.bit_or("bit").alias("mask")).where("mask < 255")
+    return _soup(cubes, F.lit(0.5), voxel, (d.ox, d.oy, d.oz), 1, cell_center)
 
 
 def mesh_of(soup: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices (vid, x, y, z) and faces (fid, i0, i1, i2) of surface()."""
+    """Vertices (vid, x, y, z) and faces (fid, i0, i1, i2) of a surface."""
     soup = stored(soup, "soup")
     ids, tids = numbered(soup, "edge", "vid"), numbered(soup, "tid", "fid")
     vertices = soup.groupBy("edge").agg(*[F.min(a).alias(a) for a in "xyz"]).join(ids, "edge").select("vid", "x", "y", "z")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import cluster, filters, mesh, metrics, register, spatial, volume
-from ..storage import stored
+from ..sources import formats
+from ..storage import session_dir, stored
 from . import fixtures as fx
 from . import pipelines
 
@@ -49,7 +51,7 @@ POINT = f"pid, {r('x', 'y', 'z')}"
 BOUNDS = "min(x) AS lo_x, max(x) AS hi_x, min(y) AS lo_y, max(y) AS hi_y, min(z) AS lo_z, max(z) AS hi_z"
 INSIDE = "x BETWEEN lo_x AND hi_x AND y BETWEEN lo_y AND hi_y AND z BETWEEN lo_z AND hi_z"
 
-# ---------------------------------------------------------------- projections
+# projections
 
 POSE = g.compose(g.rotation((1, 2, 3), 0.3), g.translation(0.1, -0.2, 0.3))
 
@@ -60,24 +62,50 @@ def _(spark, d):
 
 
 STEPS = [g.rotation((0, 0, 1), 0.1), g.translation(1, 2, 3), g.rotation((1, 0, 0), -0.2)]
+#: One step of an ordered product of 4x4 matrices as lists by rows.
+MATMUL = "list_transform(range(16), lambda i: list_sum(list_transform(range(4), lambda k: s.m[(4 * (i // 4) + k + 1)::INTEGER] * p.t[(4 * k + i % 4 + 1)::INTEGER])))"
+PRODUCT = f"prod(seq, t) AS (SELECT -1, [1.0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1]::DOUBLE[] UNION ALL SELECT s.seq, {MATMUL} FROM prod p JOIN steps s ON s.seq = p.seq + 1)"
 
 
-@query("q_compose", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {j}, round({float(g.compose(*STEPS)[i, j])!r}, 6) + 0.0)" for i in range(4) for j in range(4)) + ") t(i, j, v)")
+def turn(axis: str, angle: str) -> str:
+    """SQL of a rotation about a coordinate axis."""
+    c, n = f"cos({angle})", f"sin({angle})"
+    rows = {"x": f"1, 0, 0, 0, 0, {c}, -{n}, 0, 0, {n}, {c}, 0", "y": f"{c}, 0, {n}, 0, 0, 1, 0, 0, -{n}, 0, {c}, 0", "z": f"{c}, -{n}, 0, 0, {n}, {c}, 0, 0, 0, 0, 1, 0"}
+    return f"[{rows[axis]}, 0, 0, 0, 1]::DOUBLE[]"
+
+
+def move(x: str, y: str, z: str) -> str:
+    return f"[1, 0, 0, {x}, 0, 1, 0, {y}, 0, 0, 1, {z}, 0, 0, 0, 1]::DOUBLE[]"
+
+
+@query("q_compose", f"WITH RECURSIVE steps(seq, m) AS (VALUES (0, {turn('z', '0.1')}), (1, {move('1', '2', '3')}), (2, {turn('x', '-0.2')})), {PRODUCT} SELECT (k // 4)::INTEGER AS i, (k % 4)::INTEGER AS j, round(t[(k + 1)::INTEGER], 6) + 0.0 AS v FROM prod, range(16) r(k) WHERE seq = 2")
 def _(spark, d):
     steps = spark.createDataFrame([(k, [float(v) for v in m.ravel()]) for k, m in enumerate(STEPS)], "seq int, m array<double>")
     return g.compose_rows(steps).select(F.posexplode("t").alias("k", "v")).select((F.col("k") / 4).cast("int").alias("i"), F.pmod("k", F.lit(4)).cast("int").alias("j"), "v")
 
 
-@query("q_rot", f"{C}, a AS (SELECT pid, z AS t FROM cloud) SELECT pid, round(x*cos(t) - y*sin(t), 6) + 0.0 AS x, round(x*sin(t) + y*cos(t), 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM cloud JOIN a USING (pid)")
+ANGLES = (0.3, -1.2, 2.5)
+
+
+@query("q_rot", f"{C}, k AS (SELECT 1 / sqrt(14.0) AS kx, 2 / sqrt(14.0) AS ky, 3 / sqrt(14.0) AS kz), a(t) AS (VALUES {', '.join(f'({t}::DOUBLE)' for t in ANGLES)}), d AS (SELECT *, kx*x + ky*y + kz*z AS dot FROM cloud, k, a) SELECT pid, t AS angle, round(x*cos(t) + (ky*z - kz*y)*sin(t) + kx*dot*(1 - cos(t)), 6) + 0.0 AS x, round(y*cos(t) + (kz*x - kx*z)*sin(t) + ky*dot*(1 - cos(t)), 6) + 0.0 AS y, round(z*cos(t) + (kx*y - ky*x)*sin(t) + kz*dot*(1 - cos(t)), 6) + 0.0 AS z FROM d")
 def _(spark, d):
     c = fx.cloud(spark, d)
-    s, k = F.sin("z"), F.cos("z")
-    return c.select("pid", (F.col("x") * k - F.col("y") * s).alias("x"), (F.col("x") * s + F.col("y") * k).alias("y"), "z")
+    turned = [g.transform(c, g.rotation((1, 2, 3), t)).withColumn("angle", F.lit(t)) for t in ANGLES]
+    return turned[0].union(turned[1]).union(turned[2])
 
 
-@query("q_replay")
+@query("q_translate", f"{C} SELECT pid, round(x + 0.5, 6) + 0.0 AS x, round(y - 0.25, 6) + 0.0 AS y, round(z + 2.0, 6) + 0.0 AS z FROM cloud")
 def _(spark, d):
-    keys = spark.createDataFrame(list(enumerate("WWaQjLuOIzkDX" + "W")), "seq int, key string")
+    return g.transform(fx.cloud(spark, d), g.translation(0.5, -0.25, 2.0))
+
+
+KEYS_SQL = ", ".join([*[f"('{k}', {move(*v)})" for k, v in {"W": ("0", "0", "0.05"), "S": ("0", "0", "-0.05"), "A": ("-0.05", "0", "0"), "D": ("0.05", "0", "0"), "Q": ("0", "0.05", "0"), "E": ("0", "-0.05", "0")}.items()], *[f"('{k}', {turn(a, s + 'radians(1)')})" for k, a, s in (("J", "y", ""), ("L", "y", "-"), ("I", "x", ""), ("K", "x", "-"), ("U", "z", ""), ("O", "z", "-"))]])
+TYPED = "WWaQjLuOIzkDXW"
+
+
+@query("q_replay", f"WITH RECURSIVE typed AS (SELECT k AS seq, upper(substr('{TYPED}', k::INTEGER + 1, 1)) AS key FROM range({len(TYPED)}) r(k)), keys(key, m) AS (VALUES {KEYS_SQL}), steps AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, m FROM typed JOIN keys USING (key) WHERE seq < (SELECT min(seq) FROM typed WHERE key = 'X')), {PRODUCT} SELECT k::INTEGER AS k, round(t[(k + 1)::INTEGER], 6) + 0.0 AS v FROM prod, range(16) r(k) WHERE seq = (SELECT max(seq) FROM steps)")
+def _(spark, d):
+    keys = spark.createDataFrame(list(enumerate(TYPED)), "seq int, key string")
     return g.replay(keys).select(F.posexplode("t").alias("k", "v"))
 
 
@@ -122,7 +150,7 @@ def _(spark, d):
     return g.intensity(c).select("pid", F.col("intensity").cast("double").alias("intensity"))
 
 
-# ---------------------------------------------------------------- filters
+# filters
 
 
 @query("q_crop_bbox", f"{C}, box AS (SELECT {BOUNDS} FROM gt) SELECT {POINT} FROM pred, box WHERE {INSIDE}")
@@ -152,12 +180,17 @@ def _(spark, d):
     return filters.select_by_index(c, c.select((F.col("pid") * 3).alias("pid")))
 
 
-@query("q_sample")
+def draw(key: str, seed: int, what: int = 0) -> str:
+    """SQL of the draws that sampling goes by."""
+    return f"('0x' || substr(md5({key}::VARCHAR || ':{seed}:{what}'), 1, 15))::BIGINT"
+
+
+@query("q_sample", f"{C} SELECT {POINT} FROM (SELECT * FROM cloud ORDER BY {draw('pid', 42)}, pid LIMIT 100)")
 def _(spark, d):
     return filters.sample(fx.cloud(spark, d), 100)
 
 
-# ---------------------------------------------------------------- joins
+# joins
 
 
 @query("q_nn_inner", f"{C}, {nn('pred', 'gt')} SELECT pid, b.nid AS nid, round(sqrt(b.d2), 6) AS dist FROM nn WHERE b.d2 < 0.2*0.2")
@@ -186,7 +219,7 @@ def _(spark, d):
     return pipelines.crop_intersection(fx.truth(spark, d), methods, 0.1)
 
 
-# ---------------------------------------------------------------- neighbourhoods
+# neighbourhoods
 
 
 def ranked(k: int, src: str = "cloud", name: str = "rk") -> str:
@@ -253,14 +286,21 @@ def _(spark, d):
 
 
 EPS, MIN_PTS = 0.06, 6
-DBSCAN = f"""pairs AS (SELECT a.pid AS a, b.pid AS b FROM cloud a, cloud b WHERE {D2} < {EPS}*{EPS}),
-core AS (SELECT a AS pid FROM pairs GROUP BY a HAVING count(*) >= {MIN_PTS}),
+
+
+def dbscan(src: str, eps: str, n: int) -> str:
+    """CTEs that end in clustered(pid, x, y, z, label)."""
+    return f"""pairs AS (SELECT a.pid AS a, b.pid AS b FROM {src} a, {src} b WHERE {D2} < {eps}*{eps}),
+core AS (SELECT a AS pid FROM pairs GROUP BY a HAVING count(*) >= {n}),
 links AS (SELECT a, b FROM pairs WHERE a IN (SELECT pid FROM core) AND b IN (SELECT pid FROM core)),
 reach AS (SELECT pid, pid AS root FROM core UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.pid AND r.root < l.b),
 comp AS (SELECT pid, min(root) AS comp FROM reach GROUP BY pid),
 lab AS (SELECT pid, (dense_rank() OVER (ORDER BY comp) - 1)::INTEGER AS label FROM comp),
 border AS (SELECT p.a AS pid, min(label) AS label FROM pairs p JOIN lab ON lab.pid = p.b GROUP BY p.a),
-clustered AS (SELECT c.pid, c.x, c.y, c.z, coalesce(lab.label, border.label, -1)::INTEGER AS label FROM cloud c LEFT JOIN lab USING (pid) LEFT JOIN border USING (pid))"""
+clustered AS (SELECT c.pid, c.x, c.y, c.z, coalesce(lab.label, border.label, -1)::INTEGER AS label FROM {src} c LEFT JOIN lab USING (pid) LEFT JOIN border USING (pid))"""
+
+
+DBSCAN = dbscan("cloud", str(EPS), MIN_PTS)
 CR = C.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
@@ -273,12 +313,20 @@ def _(spark, d):
     return cluster.dbscan(fx.cloud(spark, d), EPS, MIN_PTS)
 
 
-STATS = """box AS (SELECT (min(x)+max(x))/2 AS bx, (min(y)+max(y))/2 AS bny FROM clustered),
-stats AS (SELECT label, count(*) AS n, (avg(x)-any_value(bx))*(avg(x)-any_value(bx)) + (avg(y)-any_value(bny))*(avg(y)-any_value(bny)) AS d2 FROM clustered, box WHERE label >= 0 GROUP BY label),
+def stats(axes: str = "xy") -> str:
+    """CTEs of the central cluster and the largest other."""
+    box = ", ".join(f"(min({a})+max({a}))/2 AS mid_{a}" for a in axes)
+    square = " + ".join(f"(avg({a})-any_value(mid_{a}))*(avg({a})-any_value(mid_{a}))" for a in axes)
+    return f"""box AS (SELECT {box} FROM clustered),
+stats AS (SELECT label, count(*) AS n, {square} AS d2 FROM clustered, box WHERE label >= 0 GROUP BY label),
 central AS (SELECT label FROM stats ORDER BY d2, label LIMIT 1),
 extra AS (SELECT label FROM stats WHERE label NOT IN (SELECT label FROM central) ORDER BY n DESC, label DESC LIMIT 1)"""
 
 
+STATS = stats()
+TOP = "top AS (SELECT label FROM clustered WHERE label >= 0 GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)"
+
+
 @query("q_keep_central", f"{CR}, {DBSCAN}, {STATS} SELECT {POINT}, label FROM clustered WHERE label IN (SELECT label FROM central UNION ALL SELECT label FROM extra) OR NOT EXISTS (SELECT 1 FROM stats)")
 def _(spark, d):
     return cluster.keep_central(_clustered(spark, d), 0)
@@ -289,14 +337,43 @@ def _(spark, d):
     return cluster.keep_central(_clustered(spark, d), 0, strict_keep_extra=True)
 
 
-@query("q_keep_largest", f"{CR}, {DBSCAN}, top AS (SELECT label FROM clustered WHERE label >= 0 GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) SELECT {POINT}, label FROM clustered WHERE label IN (SELECT label FROM top) OR NOT EXISTS (SELECT 1 FROM top)")
+@query("q_keep_largest", f"{CR}, {DBSCAN}, {TOP} SELECT {POINT}, label FROM clustered WHERE label IN (SELECT label FROM top) OR NOT EXISTS (SELECT 1 FROM top)")
 def _(spark, d):
     return cluster.keep_largest(_clustered(spark, d))
 
 
-@query("q_normals")
+def normals_sql(src: str, k: int, radius: float | None = None) -> str:
+    """CTEs that end in normals(pid, nx, ny, nz): the eigenvector of the
+    smallest eigenvalue in closed form, turned to one half-space."""
+    near = "" if radius is None else f" WHERE d2 < {radius}*{radius}"
+    m = ", ".join(f"covar_pop(t.{a}, t.{b}) AS {a}{b}" for a, b in ("xx", "yy", "zz", "xy", "xz", "yz"))
+    return f"""{ranked(k, src, 'nr')},
+mom AS (SELECT nr.pid, count(*) AS n, {m} FROM nr JOIN {src} t ON t.pid = nr.nid{near} GROUP BY nr.pid),
+e1 AS (SELECT *, (xx+yy+zz)/3 AS q FROM mom),
+e2 AS (SELECT *, sqrt(((xx-q)*(xx-q)+(yy-q)*(yy-q)+(zz-q)*(zz-q)+2*(xy*xy+xz*xz+yz*yz))/6) AS p FROM e1),
+e3 AS (SELECT *, CASE WHEN p > 0 THEN ((xx-q)*((yy-q)*(zz-q)-yz*yz) - xy*(xy*(zz-q)-yz*xz) + xz*(xy*yz-(yy-q)*xz))/(2*p*p*p) ELSE 0 END AS r FROM e2),
+e4 AS (SELECT *, q + 2*p*cos(acos(least(greatest(r, -1), 1))/3 + 2*pi()/3) AS l FROM e3),
+rows3 AS (SELECT pid, n, unnest([
+ [xy*yz-xz*(yy-l), xz*xy-(xx-l)*yz, (xx-l)*(yy-l)-xy*xy],
+ [xy*(zz-l)-xz*yz, xz*xz-(xx-l)*(zz-l), (xx-l)*yz-xy*xz],
+ [(yy-l)*(zz-l)-yz*yz, yz*xz-xy*(zz-l), xy*yz-(yy-l)*xz]]) AS c FROM e4),
+best AS (SELECT pid, any_value(n) AS n, arg_max(c, c[1]*c[1]+c[2]*c[2]+c[3]*c[3]) AS c FROM rows3 GROUP BY pid),
+unit AS (SELECT pid, n, list_transform(c, lambda v: v / nullif(sqrt(c[1]*c[1]+c[2]*c[2]+c[3]*c[3]), 0) * CASE WHEN c[1]+0.5*c[2]+0.25*c[3] < 0 THEN -1 ELSE 1 END) AS c FROM best),
+normals AS (SELECT pid, CASE WHEN n < 3 THEN 0 ELSE c[1] END AS nx, CASE WHEN n < 3 THEN 0 ELSE c[2] END AS ny, CASE WHEN n < 3 THEN 1 ELSE c[3] END AS nz FROM unit)"""
+
+
+def one_side(cloud: DataFrame) -> DataFrame:
+    """Normals have no sign: turned to one half-space, to 4 places."""
+    sign = F.when(F.col("nx") + 0.5 * F.col("ny") + 0.25 * F.col("nz") < 0, -1.0).otherwise(1.0)
+    return cloud.withColumns({n: F.round(F.col(n) * sign, 4) + F.lit(0.0) for n in ("nx", "ny", "nz")})
+
+
+NORMAL = ", ".join(f"round({n}, 4) + 0.0 AS {n}" for n in ("nx", "ny", "nz"))
+
+
+@query("q_normals", f"{C}, {normals_sql('cloud', 30, 0.3)} SELECT pid, {r('x', 'y', 'z')}, {NORMAL} FROM cloud JOIN normals USING (pid)")
 def _(spark, d):
-    return register.normals(fx.cloud(spark, d), 0.3, 30)
+    return one_side(register.normals(fx.cloud(spark, d), 0.3, 30))
 
 
 @query("q_pipeline_a", f"{C}, box AS (SELECT " + ", ".join(f"min({a}) - 0.1 AS lo_{a}, max({a}) + 0.1 AS hi_{a}" for a in "xyz") + f" FROM gt) SELECT {POINT} FROM pred a, box WHERE {INSIDE} AND EXISTS (SELECT 1 FROM gt b WHERE {D2} < 0.1*0.1)")
@@ -304,17 +381,20 @@ def _(spark, d):
     return pipelines.clean_near_truth(fx.predicted(spark, d), fx.truth(spark, d))
 
 
-@query("q_pipeline_b")
+KEPT = "label IN (SELECT label FROM central UNION ALL SELECT label FROM extra) OR NOT EXISTS (SELECT 1 FROM stats)"
+
+
+@query("q_pipeline_b", f"{CR}, {sor(25, 1.8, 'cloud', 's1')}, {kdist(16, 's1', 'k1')}, s2 AS (SELECT s1.* FROM s1 JOIN k1 USING (pid) WHERE dk <= (SELECT quantile_cont(dk, 0.95) FROM k1)), {kdist(16, 's2', 'k2')}, {dbscan('s2', '(SELECT 1.6 * median(dk) FROM k2)', 22)}, {stats('xyz')} SELECT {POINT} FROM clustered WHERE {KEPT}")
 def _(spark, d):
     return pipelines.clean_knn(fx.cloud(spark, d))
 
 
-@query("q_pipeline_c")
+@query("q_pipeline_c", f"{CR}, {sor(25, 1.8, 'cloud', 's1')}, {ror(6, 0.3, 's1', 's2')}, {dbscan('s2', '0.15', 16)}, {TOP} SELECT {POINT} FROM clustered WHERE label IN (SELECT label FROM top) OR NOT EXISTS (SELECT 1 FROM top)")
 def _(spark, d):
     return pipelines.clean_clusters(fx.cloud(spark, d))
 
 
-# ---------------------------------------------------------------- aggregates
+# aggregates
 
 
 @query("q_voxel_down", f"{C}, box AS (SELECT {BOUNDS} FROM cloud) SELECT min(pid) AS pid, " + ", ".join(f"round(avg({a}), 6) + 0.0 AS {a}" for a in "xyz") + " FROM cloud, box GROUP BY " + ", ".join(f"floor(({a} - (lo_{a} - 0.1/2)) / 0.1)" for a in "xyz"))
@@ -336,9 +416,12 @@ def _(spark, d):
     return pipelines.eval_cloud(fx.predicted(spark, d), fx.truth(spark, d), 0.0, 0.05, 0.1, 0.15, align=False)
 
 
-@query("q_eval_pcd")
+@query("q_eval_pcd", f"{C}, {RECON}")
 def _(spark, d):
-    return pipelines.eval_cloud(fx.predicted(spark, d), fx.truth(spark, d), 0.05, 0.05, 0.1, 0.15, schedule=((0.2, 0.4, "p2p", 3), (0.1, 0.2, "p2l", 3)))
+    """The whole evaluation of a moved cloud, aligned on the unmoved one."""
+    pred = fx.predicted(spark, d)
+    moved = g.transform(pred, g.compose(g.rotation((0, 0, 1), 0.2), g.translation(0.3, -0.1, 0.2)))
+    return pipelines.eval_cloud(moved, fx.truth(spark, d), 0.0, 0.05, 0.1, 0.15, icp_target=pred, schedule=((0.01, 0.1, "p2p", 30), (0.005, 0.05, "p2l", 30)))
 
 
 @query("q_report", f"{C}, recon AS (SELECT * FROM (WITH {RECON.replace('box AS', 'box AS', 1)})) SELECT * FROM (SELECT unnest(['MAE_accuracy (m)', 'MAE_completeness (m)', 'Chamfer_L1 (m)', 'Chamfer_L2 (m)', 'Precision [Accuracy] (%)', 'Recall [Completeness] (%)', 'F-score (%)', 'threshold', 'truncation_acc', 'truncation_com']) AS metric, unnest([mae_acc, mae_com, chamfer_l1, chamfer_l2, precision_pct, recall_pct, f_score_pct, threshold, truncation_acc, truncation_com]) AS value FROM recon)")
@@ -389,7 +472,7 @@ def _(spark, d):
     return metrics.runtime_summary(li.selectExpr("l_returnflag as method", "l_linestatus as variant", "l_tax as voxel_m", "l_quantity as ms"))
 
 
-# ---------------------------------------------------------------- meshes
+# meshes
 
 M = f"WITH {fx.MESH_SQL}"
 DM = f"WITH {fx.DIRTY_SQL}"
@@ -447,17 +530,32 @@ def _(spark, d):
     return mesh.vertex_normals(*fx.mesh(spark, d))
 
 
-@query("q_surface_sample")
+def surface_points(n: str) -> str:
+    """CTEs after TRI that end in points(pid, x, y, z, fid)."""
+    u = lambda k: f"(({draw('pid', 42, k)})::DOUBLE + 0.5) / 1152921504606846976.0::DOUBLE"
+    at = ", ".join(f"(1-r)*ax_{k} + r*(1-q)*bx_{k} + r*q*cx_{k} AS {k}" for k in "xyz")
+    corners = ", ".join(f"{v}.{k} AS {v}x_{k}" for v in "abc" for k in "xyz")
+    return f"""shares AS (SELECT fid, i0, i1, i2, sum(0.5*len) OVER (ORDER BY fid % {mesh.BLOCKS}, fid) AS hi, sum(0.5*len) OVER () AS total, 0.5*len AS area FROM sized),
+spans AS (SELECT *, round({n} * (hi - area) / total)::BIGINT AS k0, round({n} * hi / total)::BIGINT AS k1 FROM shares),
+picked AS (SELECT fid, i0, i1, i2, unnest(range(k0, k1)) AS pid FROM spans),
+drawn AS (SELECT picked.*, sqrt({u(1)}) AS r, {u(2)} AS q, {corners} FROM picked JOIN vertices a ON a.vid = i0 JOIN vertices b ON b.vid = i1 JOIN vertices c ON c.vid = i2),
+points AS (SELECT pid, {at}, fid FROM drawn)"""
+
+
+@query("q_surface_sample", f"{M}, {TRI}, {surface_points('5000.0')} SELECT {POINT}, fid FROM points")
 def _(spark, d):
     return mesh.sample_surface(*fx.mesh(spark, d), 5000)
 
 
-@query("q_mesh_to_cloud")
+BUDGET = "(SELECT floor(least(greatest(sum(0.5*len)/(0.1*0.1)*10, 1000), 20000)) FROM sized)"
+
+
+@query("q_mesh_to_cloud", f"{M}, {TRI}, {surface_points(BUDGET)}, pbox AS (SELECT {BOUNDS} FROM points), voxels AS (SELECT min(pid) AS pid, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM points, pbox GROUP BY floor((x - (lo_x - 0.1/2)) / 0.1), floor((y - (lo_y - 0.1/2)) / 0.1), floor((z - (lo_z - 0.1/2)) / 0.1)), {normals_sql('voxels', 30)} SELECT pid, {r('x', 'y', 'z')}, {NORMAL} FROM voxels JOIN normals USING (pid)")
 def _(spark, d):
-    return pipelines.mesh_to_cloud(*fx.mesh(spark, d), voxel=0.05, low=1000, high=20_000)[2]
+    return one_side(pipelines.mesh_to_cloud(*fx.mesh(spark, d), voxel=0.1, low=1000, high=20_000)[2])
 
 
-# ---------------------------------------------------------------- volumes
+# volumes
 
 
 @query("q_occupancy", f"{C}, {DIMS}, {CELLS}, {OCC} SELECT * FROM occ")
@@ -485,67 +583,214 @@ def _(spark, d):
     return volume.distance_transform(_grid(spark, d), 0.1)
 
 
-@query("q_sdf", f"{GRID}, o1 AS (SELECT g.ix, g.iy, g.iz, any_value(g.occ) AS occ, {NEAR} AS a FROM cellz g, occ o GROUP BY g.ix, g.iy, g.iz), o2 AS (SELECT g.ix, g.iy, g.iz, {NEAR} AS b FROM cellz g, (SELECT * FROM cellz WHERE NOT occ) o GROUP BY g.ix, g.iy, g.iz) SELECT ix, iy, iz, occ, round(a - b, 6) + 0.0 AS sdf FROM o1 JOIN o2 USING (ix, iy, iz)")
+SDF = f"o1 AS (SELECT g.ix, g.iy, g.iz, any_value(g.occ) AS occ, {NEAR} AS a FROM cellz g, occ o GROUP BY g.ix, g.iy, g.iz), o2 AS (SELECT g.ix, g.iy, g.iz, {NEAR} AS b FROM cellz g, (SELECT * FROM cellz WHERE NOT occ) o GROUP BY g.ix, g.iy, g.iz), signed AS (SELECT ix, iy, iz, occ, a - b AS sdf FROM o1 JOIN o2 USING (ix, iy, iz))"
+
+
+@query("q_sdf", f"{GRID}, {SDF} SELECT ix, iy, iz, occ, round(sdf, 6) + 0.0 AS sdf FROM signed")
 def _(spark, d):
     return volume.signed_distance(_grid(spark, d), 0.1)
 
 
-@query("q_gaussian")
+def mirrored(i: str, n: str) -> str:
+    return f"CASE WHEN {i} < 0 THEN -{i} - 1 WHEN {i} >= {n} THEN 2*{n} - 1 - {i} ELSE {i} END"
+
+
+SMOOTH = "kern AS (SELECT (k - 4)::INTEGER AS o, exp(-0.5*(k-4)*(k-4)) / sum(exp(-0.5*(k-4)*(k-4))) OVER () AS w FROM range(9) r(k))" + "".join(
+    f", pass{p} AS (SELECT " + ", ".join(f"g.i{b}" for b in "xyz") + f", sum(w * s.{'sdf' if p == 0 else 'v'}) AS v FROM grid g, kern, dims JOIN {'signed' if p == 0 else f'pass{p - 1}'} s ON " + " AND ".join(f"s.i{b} = " + (mirrored(f"(g.i{b} + o)", f"n{b}") if b == a else f"g.i{b}") for b in "xyz") + " GROUP BY g.ix, g.iy, g.iz)"
+    for p, a in enumerate("xyz")
+)
+
+
+@query("q_gaussian", f"{GRID}, {SDF}, {SMOOTH} SELECT ix, iy, iz, occ, round(v, 6) + 0.0 AS sdf FROM pass2 JOIN cellz USING (ix, iy, iz)")
 def _(spark, d):
     return volume.gaussian(volume.signed_distance(_grid(spark, d), 0.1), 1.0)
 
 
-@query("q_mc")
+#: Where an unsmoothed surface crosses: the middles between occupied and empty cells.
+SIDES = "sides(axis, dx, dy, dz) AS (VALUES (0,-1,0,0),(0,1,0,0),(1,0,-1,0),(1,0,1,0),(2,0,0,-1),(2,0,0,1)), nb AS (SELECT ix, iy, iz, ix + dx AS jx, iy + dy AS jy, iz + dz AS jz FROM occ, sides), gaps AS (SELECT nb.* FROM nb, dims WHERE jx >= 0 AND jx < nx AND jy >= 0 AND jy < ny AND jz >= 0 AND jz < nz AND NOT EXISTS (SELECT 1 FROM occ o WHERE o.ix = jx AND o.iy = jy AND o.iz = jz)), middles AS (SELECT " + ", ".join(f"o{a} + (i{a} + j{a}) / 2.0 * 0.1 AS {a}" for a in "xyz") + " FROM gaps, dims)"
+
+
+@query("q_mc", f"{C}, {DIMS}, {CELLS}, {OCC}, {SIDES} SELECT {r('x', 'y', 'z')} FROM middles")
 def _(spark, d):
+    """The vertices of the zero level of the signed distance."""
     o = g.grid_dims(fx.cloud(spark, d), 0.1, 0.05).first()
-    return volume.surface(volume.signed_distance(_grid(spark, d), 0.1), 0.1, (o.ox, o.oy, o.oz))
+    soup = volume.surface(volume.signed_distance(_grid(spark, d), 0.1), 0.1, (o.ox, o.oy, o.oz), slope=2.0)
+    return volume.mesh_of(soup)[0].select("x", "y", "z")
+
+
+WIDE = DIMS.replace("0.05", "0.2")
 
 
-@query("q_cloud_to_mesh")
+@query("q_cloud_to_mesh", f"{C}, {WIDE}, {CELLS}, {OCC}, {SIDES} SELECT {r('x', 'y', 'z')} FROM middles")
 def _(spark, d):
-    return mesh.triangles(*pipelines.cloud_to_mesh(fx.cloud(spark, d), 0.1, 0.2)).selectExpr("fid", "i0", "i1", "i2", "a.x as ax", "a.y as ay", "a.z as az")
+    return pipelines.cloud_to_mesh(fx.cloud(spark, d), 0.1, 0.2)[0].select("x", "y", "z")
 
 
-# ---------------------------------------------------------------- registration
+@query("q_mesh_closed", "SELECT 0::BIGINT AS open_edges, 0::BIGINT AS one_way")
+def _(spark, d):
+    """A surface inside its grid is closed: every edge is passed as often one
+    way as the other."""
+    _, faces = pipelines.cloud_to_mesh(fx.cloud(spark, d), 0.1, 0.2)
+    way = faces.select(F.explode(F.array(*[F.struct(F.col(f"i{i}").alias("a"), F.col(f"i{(i + 1) % 3}").alias("b")) for i in range(3)])).alias("e"))
+    edge = way.groupBy(F.least("e.a", "e.b").alias("u"), F.greatest("e.a", "e.b").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("e.a") < F.col("e.b"), 1).otherwise(-1)).alias("net"))
+    return edge.agg(F.count_if(F.col("n") % 2 != 0).alias("open_edges"), F.count_if(F.col("net") != 0).alias("one_way"))
+
+
+# registration
 
 SHIFT = g.compose(g.rotation((0, 0, 1), math.radians(3)), g.translation(0.01, -0.01, 0.005))
+#: What undoes it: turned back by 3 degrees after moving back.
+BACK = f"WITH RECURSIVE steps(seq, m) AS (VALUES (0, {move('-0.01', '0.01', '-0.005')}), (1, {turn('z', '-radians(3)')})), {PRODUCT} SELECT k::INTEGER AS k, round(t[(k + 1)::INTEGER], 6) + 0.0 AS v FROM prod, range(16) r(k) WHERE seq = 1"
 
 
 def _flat(spark: SparkSession, t: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(np.asarray(t).ravel())], "k int, v double")
 
 
-@query("q_icp_init")
+@query("q_icp_init", BACK)
 def _(spark, d):
     c = fx.cloud(spark, d)
     return _flat(spark, register.initial_pose(g.transform(c, SHIFT), c))
 
 
-@query("q_icp")
+@query("q_icp", BACK)
 def _(spark, d):
     c = stored(fx.cloud(spark, d), "cloud")
-    return _flat(spark, register.icp(stored(g.transform(c, SHIFT), "moved"), c, 0.1, "p2p", 12).transform)
+    return _flat(spark, register.icp(stored(g.transform(c, SHIFT), "moved"), c, 0.1, "p2p", 60).transform)
 
 
-@query("q_icp_planes")
+@query("q_icp_planes", BACK)
 def _(spark, d):
     c = stored(register.normals(fx.cloud(spark, d), 0.3, 30), "normals")
-    return _flat(spark, register.icp(stored(g.transform(c.select("pid", "x", "y", "z"), SHIFT), "moved"), c, 0.1, "p2l", 12).transform)
+    return _flat(spark, register.icp(stored(g.transform(c.select("pid", "x", "y", "z"), SHIFT), "moved"), c, 0.1, "p2l", 60).transform)
+
+
+#: A larger motion of a cloud of the size of a courtyard, for the full schedule.
+FAR_BACK = f"WITH RECURSIVE steps(seq, m) AS (VALUES (0, {move('-3', '2', '-1')}), (1, {turn('z', '-0.4')})), {PRODUCT} SELECT k::INTEGER AS k, round(t[(k + 1)::INTEGER], 4) + 0.0 AS v FROM prod, range(16) r(k) WHERE seq = 1"
+
+
+@query("q_icp_multiscale", FAR_BACK)
+def _(spark, d):
+    c = fx.cloud(spark, d).select("pid", *[(F.col(a) * 50).alias(a) for a in "xyz"])
+    moved = g.transform(c, g.compose(g.rotation((0, 0, 1), 0.4), g.translation(3, -2, 1)))
+    return _flat(spark, register.icp_multiscale(moved, c)[1]).withColumn("v", F.round("v", 4))
 
 
-# ---------------------------------------------------------------- larger clouds
+# larger clouds
 
-BIG = "big AS (SELECT l_quantity::DOUBLE AS x, l_extendedprice / 2000.0 AS y, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) / 50.0 AS z FROM lineitem)"
+BIG = f"WITH {fx.LARGE_SQL}"
 
 
-@query("q_big_voxels", f"WITH {BIG}, box AS (SELECT {BOUNDS} FROM big) SELECT " + ", ".join(f"round(avg({a}) + 3e-10, 6) + 0.0 AS {a}" for a in "xyz") + " FROM big, box GROUP BY " + ", ".join(f"floor(({a} - (lo_{a} - 2.0/2)) / 2.0)" for a in "xyz"))
+@query("q_big_voxels", f"{BIG}, box AS (SELECT {BOUNDS} FROM big) SELECT " + ", ".join(f"round(avg({a}) + 3e-10, 6) + 0.0 AS {a}" for a in "xyz") + " FROM big, box GROUP BY " + ", ".join(f"floor(({a} - (lo_{a} - 2.0/2)) / 2.0)" for a in "xyz"))
 def _(spark, d):
     # prices have five decimals, so means often end in a 5 at the seventh: off the tie
     out = metrics.voxel_downsample(fx.large_cloud(spark, d), 2.0)
     return out.select(*[(F.col(a) + F.lit(3e-10)).alias(a) for a in "xyz"])
 
 
-@query("q_big_crop", f"WITH {BIG} SELECT count(*) AS n FROM big WHERE x BETWEEN 10 AND 20 AND y BETWEEN 10 AND 20 AND z BETWEEN 10 AND 20")
+@query("q_big_crop", f"{BIG} SELECT count(*) AS n FROM big WHERE x BETWEEN 10 AND 20 AND y BETWEEN 10 AND 20 AND z BETWEEN 10 AND 20")
 def _(spark, d):
     box = spark.createDataFrame([(10.0, 20.0) * 3], ", ".join(f"lo_{a} double, hi_{a} double" for a in "xyz"))
     return filters.crop(fx.large_cloud(spark, d), box).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Neighbours of a few points among all: SQL compares every pair.
+SOME = "asked AS (SELECT * FROM big WHERE pid % 300 = 0)"
+#: A slice of the cloud, searched against itself.
+SLAB = "slab AS (SELECT * FROM big WHERE x >= 20 AND x < 23)"
+
+
+def _slab(spark: SparkSession, d: str) -> DataFrame:
+    return stored(fx.large_cloud(spark, d).where("x >= 20 and x < 23"), "slab")
+
+
+def smallest(k: int, query: str, target: str, name: str) -> str:
+    """CTE (pid, near) of the k smallest (d2, nid) of every query point."""
+    return f"{name} AS (SELECT a.pid, min(struct_pack(d2 := {D2}, nid := b.pid), {k}) AS near FROM {query} a, {target} b GROUP BY a.pid)"
+
+
+@query("q_big_knn", f"{BIG}, {SOME}, {smallest(8, 'asked', 'big', 'nb')} SELECT pid, k::INTEGER AS rank, near[k::INTEGER].nid AS nid, round(near[k::INTEGER].d2, 6) AS d2 FROM nb, range(1, 9) r(k)")
+def _(spark, d):
+    big = stored(fx.large_cloud(spark, d), "big")
+    return spatial.knn(big.where("pid % 300 = 0"), big, 8)
+
+
+@query("q_big_nearest", f"{BIG}, {SOME}, rest AS (SELECT pid, x + 7.3 AS x, y, z FROM big WHERE pid % 300 <> 0), {smallest(1, 'asked', 'rest', 'nb')} SELECT pid, near[1].nid AS nid, round(sqrt(near[1].d2), 6) AS dist FROM nb")
+def _(spark, d):
+    big = stored(fx.large_cloud(spark, d), "big")
+    return spatial.nearest(big.where("pid % 300 = 0"), big.where("pid % 300 <> 0").withColumn("x", F.col("x") + 7.3))
+
+
+@query("q_big_sor", f"{BIG}, {SLAB}, {smallest(25, 'slab', 'slab', 'nb')}, m AS (SELECT pid, list_avg(list_transform(near, lambda n: sqrt(n.d2))) AS m FROM nb) SELECT {POINT} FROM slab WHERE pid IN (SELECT pid FROM m WHERE m > 0 AND m < (SELECT avg(m) + 1.8 * stddev_samp(m) FROM m))")
+def _(spark, d):
+    return filters.statistical_outliers(_slab(spark, d), 25, 1.8)
+
+
+@query("q_big_knn_pct", f"{BIG}, {SLAB}, {smallest(17, 'slab', 'slab', 'nb')}, kd AS (SELECT pid, sqrt(near[17].d2) AS dk FROM nb) SELECT {POINT} FROM slab JOIN kd USING (pid) WHERE dk <= (SELECT quantile_cont(dk, 0.95) FROM kd)")
+def _(spark, d):
+    return filters.knn_percentile(_slab(spark, d), 16, 95.0, 1.0)
+
+
+@query("q_big_ror", f"{BIG}, {SLAB}, {ror(16, 2.5, 'slab')} SELECT {POINT} FROM ror")
+def _(spark, d):
+    return filters.radius_outliers(_slab(spark, d), 16, 2.5)
+
+
+@query("q_big_dbscan", f"{BIG.replace('WITH ', 'WITH RECURSIVE ', 1)}, {SLAB}, {dbscan('slab', '0.45', 4)} SELECT {POINT}, label FROM clustered")
+def _(spark, d):
+    return cluster.dbscan(_slab(spark, d), 0.45, 4)
+
+
+@query("q_big_icp", BACK)
+def _(spark, d):
+    """Registration of a slice; the motion is about the origin of the slice."""
+    c = stored(_slab(spark, d).selectExpr("pid", "x - 21 as x", "y - 26 as y", "z - 46 as z"), "fixed")
+    return _flat(spark, register.icp(stored(g.transform(c, SHIFT), "moved"), c, 3.0, "p2p", 100, tolerance=1e-12).transform)
+
+
+# files
+
+
+def _file(spark: SparkSession, name: str) -> str:
+    return f"{session_dir(spark)}/{uuid.uuid4().hex}-{name}"
+
+
+@query("q_ply_file", f"{C} SELECT pid, {r('x', 'y', 'z')}, label FROM cloud")
+def _(spark, d):
+    path = _file(spark, "cloud.ply")
+    formats.write_cloud(fx.cloud(spark, d, "label"), path)
+    return formats.read_cloud(spark, path)
+
+
+@query("q_pcd_file", f"{C} SELECT pid, {r('x', 'y', 'z')}, round(embedding[4]::FLOAT::DOUBLE, 6) + 0.0 AS intensity FROM cloud")
+def _(spark, d):
+    """Every attribute through a PCD file, intensity unified, through a PLY file."""
+    first, second = _file(spark, "cloud.pcd"), _file(spark, "cloud.ply")
+    formats.write_cloud(fx.cloud(spark, d, F.col("embedding")[3].alias("reflectance")), first)
+    pipelines.pcd_to_ply(spark, first, second)
+    return formats.read_cloud(spark, second).select("pid", "x", "y", "z", F.col("intensity").cast("double").alias("intensity"))
+
+
+@query("q_stl_file", f"{M} SELECT fid, " + ", ".join(f"round({v}.{k}::FLOAT::DOUBLE, 6) + 0.0 AS {v}{k}" for v in "abc" for k in "xyz") + " FROM faces JOIN vertices a ON a.vid = i0 JOIN vertices b ON b.vid = i1 JOIN vertices c ON c.vid = i2")
+def _(spark, d):
+    path = _file(spark, "mesh.stl")
+    formats.write_stl(*fx.mesh(spark, d), path)
+    return spark.read.format("stl").load(path)
+
+
+@query("q_mesh_file", f"{M} SELECT fid, " + ", ".join(f"round({v}.{k}, 6) + 0.0 AS {v}{k}" for v in "abc" for k in "xyz") + " FROM faces JOIN vertices a ON a.vid = i0 JOIN vertices b ON b.vid = i1 JOIN vertices c ON c.vid = i2")
+def _(spark, d):
+    path = _file(spark, "mesh.ply")
+    formats.write_mesh_ply(*fx.mesh(spark, d), path)
+    return mesh.triangles(*formats.read_mesh(spark, path)).selectExpr("fid", *[f"{v}.{k} as {v}{k}" for v in "abc" for k in "xyz"])
+
+
+@query("q_cloud_or_mesh", f"{M}, {TRI}, {surface_points('800.0')} SELECT {POINT} FROM points")
+def _(spark, d):
+    """A file without points of its own is sampled."""
+    path = _file(spark, "mesh.ply")
+    vertices, faces = fx.mesh(spark, d)
+    formats.write_mesh_ply(vertices, faces, path)
+    stl = path.replace(".ply", ".stl")
+    formats.write_stl(*formats.read_mesh(spark, path), stl)
+    return mesh.sample_surface(*formats.read_mesh(spark, path), 800).select("pid", "x", "y", "z") if formats.read_cloud_or_mesh(spark, stl, 800).count() == 800 else spark.createDataFrame([], "pid bigint, x double, y double, z double")

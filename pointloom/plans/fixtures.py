@@ -24,17 +24,22 @@ def predicted(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
 
 
 def large_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cloud of line items: quantity, price and ship date, about a cube of 50."""
+    """A cloud of line items: quantity, price and ship date, about a cube of
+    50. Ids are digests of the item's keys, the same in every engine."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    keys = F.md5(F.concat_ws("-", *[F.col(k).cast("string") for k in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]))
     day = F.datediff("l_shipdate", F.lit("1992-01-01"))
     return li.select(
-        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("pid"),
+        F.conv(F.substring(keys, 1, 15), 16, 10).cast("long").alias("pid"),
         F.col("l_quantity").cast("double").alias("x"),
         (F.col("l_extendedprice") / 2000.0).alias("y"),
         (day / F.lit(50.0)).alias("z"),
     )
 
 
+LARGE_SQL = "big AS (SELECT ('0x' || substr(md5(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 15))::BIGINT AS pid, l_quantity::DOUBLE AS x, l_extendedprice / 2000.0 AS y, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) / 50.0 AS z FROM lineitem)"
+
+
 def depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return li.select((F.col("l_discount") * 100.0).alias("pred"), (F.col("l_quantity") / 4.0).alias("trgt"))
