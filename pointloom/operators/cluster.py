@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import discard, stored
 from .filters import bounds
 from .ranking import numbered
 from .spatial import kth_distance, pairs_within
@@ -21,8 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(label.select(F.col("node").alias("peer"), F.col("comp").alias("seen")), "peer").groupBy("node").agg(F.min("seen").alias("seen"))
         best = label.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "seen").alias("comp"))
         jump = label.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        label = stored(best.join(jump, "comp", "left").select("node", "old", F.coalesce("up", "comp").alias("comp")), "labels")
+        before, label = label, stored(best.join(jump, "comp", "left").select("node", "old", F.coalesce("up", "comp").alias("comp")), "labels")
+        discard(before)
         if label.where("old <> comp").isEmpty():
+            discard(both)
             return label.select("node", "comp")
 
 
