@@ -11,9 +11,11 @@ the exact Jaccard similarity of their shingle sets. Groups are the connected
 components of verified pairs.
 
 Candidates of a band bucket: every member is paired with one random member
-first. After grouping, all pairs of one bucket that are still in different
-groups are paired too, so every pair of a bucket is either in one group or has
-been judged: no cap is needed.
+first, its hub. After grouping, all pairs of one bucket's other members that are
+still in different groups are paired too, so every pair of a bucket is either in
+one group or has been judged: no cap is needed. A bucket of two has no other
+pair, so chance collisions, whose number grows faster than the corpus, cost one
+estimate each and no text.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.cluster import components
 from .common import Words, arrow_text, buckets, column, content_key, fresh, mix, pieces, stored
-from .graph import components
 
 SHINGLE, THRESHOLD = 3, 0.5
 BANDS, ROWS = 32, 3
@@ -176,7 +178,9 @@ def across(members: DataFrame, least: float) -> DataFrame:
 
     def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
         """Pairs of whole buckets: a loose bound on equal registers, the larger
-        part of the likelihood, then the estimate for many pairs at a time."""
+        part of the likelihood, then the estimate for many pairs at a time. At
+        the threshold the bound is three standard deviations off: it costs one
+        pair in a thousand, the estimate's margin two in a hundred."""
         keys, bucket = table.column("key").to_pylist(), np.asarray(table.column("bucket"))
         k = np.frombuffer(b"".join(table.column("sk").to_pylist()), np.uint16).reshape(len(keys), -1)
         group = np.unique(np.array([c.hex() for c in table.column("comp").to_pylist()]), return_inverse=True)[1].ravel()
@@ -231,9 +235,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     # one order for all bands, so that a group mostly has one hub
     member = seen.select(F.explode("bands").alias("bucket"), "key")
     hub = member.withColumn("hub", F.min_by("key", F.xxhash64("key")).over(crowd)).withColumn("n", F.count(F.lit(1)).over(crowd))
-    shared = stored(hub.where("n > 1").select("bucket", "key", "hub"), "buckets")
+    shared = stored(hub.where("n > 1").select("bucket", "key", "hub", "n"), "buckets")
+    left, right = (seen.select(F.col("key").alias(c), F.col("sk").alias(f"sk_{c}")) for c in "ab")
+    stars = shared.where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+    likely = stored(stars.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(estimated("sk_a", "sk_b") >= threshold - MARGIN).select("a", "b"), "likely")
+    # the hub has been judged against everyone in its bucket
+    others = shared.where("n > 2 and key <> hub")
     # joins against texts are sort-merge joins at every size: what is sought grows with the corpus
-    wanted = shared.select("key").distinct()
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("key")).union(others.select("key")).distinct()
     text = stored(rows.join(wanted.hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
     x, y = (text.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
 
@@ -241,11 +250,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
         """Pairs (a, b) that reach the threshold."""
         return likely.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(exact_jaccard("text_a", "text_b") >= threshold).select("a", "b")
 
-    left, right = (seen.select(F.col("key").alias(c), F.col("sk").alias(f"sk_{c}")) for c in "ab")
-    stars = shared.where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-    sure = stored(verified(stars.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(estimated("sk_a", "sk_b") >= threshold - MARGIN).select("a", "b")), "stars")
+    sure = stored(verified(likely), "stars")
     label = components(sure)
-    placed = shared.join(label, shared.key == label.node, "left").select("bucket", "key", F.coalesce("comp", "key").alias("comp"))
+    placed = others.join(label, others.key == label.node, "left").select("bucket", "key", F.coalesce("comp", "key").alias("comp"))
     mixed = placed.withColumn("lo", F.min("comp").over(crowd)).withColumn("hi", F.max("comp").over(crowd)).where("lo <> hi").select("bucket", "key", "comp")
     cross = across(mixed.join(seen.select("key", "sk"), "key").select("bucket", "key", "comp", "sk"), threshold - MARGIN).distinct()
     more = stored(verified(cross), "cross")
