@@ -14,19 +14,19 @@ one header, so sort by pid first where order matters.
 
 from __future__ import annotations
 
-import os
+import io
 import shutil
 import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 PLY_TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8", "int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4", "float32": "f4", "float64": "f8"}
 RENAMED = {"red": "r", "green": "g", "blue": "b", "normal_x": "nx", "normal_y": "ny", "normal_z": "nz"}
@@ -34,8 +34,34 @@ RENAMED = {"red": "r", "green": "g", "blue": "b", "normal_x": "nx", "normal_y":
 SPLIT = 1 << 20
 
 
-def local(path: str) -> str:
-    return path[5:] if path.startswith("file:") else path
+def placed(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and the path in it: a plain path, or a URI of
+    any file system that Arrow knows (file, hdfs, s3, gs, abfs)."""
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    return pafs.LocalFileSystem(), path.removeprefix("file:")
+
+
+def opened(path: str) -> io.BufferedReader:
+    files, at = placed(path)
+    return io.BufferedReader(files.open_input_file(at))
+
+
+def moved(source: str, target: str) -> None:
+    """Put a finished file in the place of another."""
+    files, at = placed(target)
+    if files.get_file_info(at).type == pafs.FileType.File and not isinstance(files, pafs.LocalFileSystem):
+        files.delete_file(at)  # not every file system replaces
+    files.move(placed(source)[1], at)
+
+
+def size_of(path: str) -> int:
+    """Bytes of a file; it has to exist."""
+    files, at = placed(path)
+    info = files.get_file_info(at)
+    if info.type != pafs.FileType.File:
+        raise FileNotFoundError(path)
+    return info.size
 
 
 def spark_type(code: str) -> T.DataType:
@@ -72,10 +98,9 @@ class Layout:
 
 def ply_header(path: str) -> tuple[str, list[tuple[str, int, list]], int]:
     """Format, elements (name, count, properties) and the body's offset."""
-    if not os.path.exists(path):
-        raise FileNotFoundError(path)
+    size_of(path)
     elements: list[tuple[str, int, list]] = []
-    with open(path, "rb") as f:
+    with opened(path) as f:
         if f.readline().strip() != b"ply":
             raise ValueError(f"not a PLY file: {path}")
         form = ""
@@ -116,7 +141,7 @@ def ply_vertices(path: str) -> Layout:
 def ply_faces(path: str) -> Iterator[list[int]]:
     """Corner lists of the face element, in order."""
     form, elements, offset = ply_header(path)
-    with open(path, "rb") as f:
+    with opened(path) as f:
         f.seek(offset)
         order = ">" if "big" in form else "<"
         for name, count, props in elements:
@@ -142,10 +167,9 @@ def ply_faces(path: str) -> Iterator[list[int]]:
 
 
 def pcd_layout(path: str) -> Layout:
-    if not os.path.exists(path):
-        raise FileNotFoundError(path)
+    size_of(path)
     head: dict[str, list[str]] = {}
-    with open(path, "rb") as f:
+    with opened(path) as f:
         for raw in f:
             word = raw.decode("ascii", "replace").split()
             if word and word[0] != "#":
@@ -167,10 +191,8 @@ def pcd_layout(path: str) -> Layout:
 def stl_is_text(path: str) -> bool:
     """Text starts with solid; a binary file that does too has the size its
     count of faces demands."""
-    if not os.path.exists(path):
-        raise FileNotFoundError(path)
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
+    size = size_of(path)
+    with opened(path) as f:
         head = f.read(84)
     if len(head) == 84 and size == 84 + 50 * struct.unpack("<I", head[80:])[0]:
         return False
@@ -198,7 +220,7 @@ class RecordReader(DataSourceReader):
         lay = self.layout
         arrow = _arrow(self.schema)
         if lay.text:
-            with open(lay.path, "rb") as f:
+            with opened(lay.path) as f:
                 f.seek(lay.offset)
                 lines = (x for x in f if x.strip())
                 for _ in range(lay.skip):
@@ -214,7 +236,7 @@ class RecordReader(DataSourceReader):
                 if rows:
                     yield self._batch(self._parsed(rows), at, arrow)
             return
-        with open(lay.path, "rb") as f:
+        with opened(lay.path) as f:
             width = lay.dtype.itemsize
             for a in range(partition.start, partition.stop, 65536):
                 n = min(65536, partition.stop - a)
@@ -254,13 +276,52 @@ CORNERS = [f"{c}{a}" for c in "abc" for a in "xyz"]
 TRIANGLE_SCHEMA = "fid bigint, " + ", ".join(f"{c} double" for c in CORNERS)
 
 
+def ply_triangles(path: str) -> Layout | None:
+    """Where the faces are, if all records have the width of triangles."""
+    form, elements, offset = ply_header(path)
+    for name, count, props in elements:
+        if form == "ascii" or (name != "face" and any(p[0] == "list" for p in props)):
+            return None
+        if name == "face":
+            if [p[3] for p in props if p[0] == "list"] not in (["vertex_indices"], ["vertex_index"]):
+                return None
+            fields = []
+            for k, p in enumerate(props):
+                fields += [("n", p[1], 1), ("i", p[2], 3)] if p[0] == "list" else [(f"_{k}", p[0], 1)]
+            found = Layout(path, fields, count, offset, False, ">" if "big" in form else "<")
+            return found if name == elements[-1][0] and size_of(path) == offset + count * found.dtype.itemsize else None
+        offset += count * sum(np.dtype(p[0]).itemsize for p in props)
+    return None
+
+
+def _columns(schema: T.StructType, columns: list[np.ndarray]) -> pa.RecordBatch:
+    arrow = _arrow(schema)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)).cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+
 class PlyFaceReader(DataSourceReader):
-    """Faces as triangles; polygons become fans."""
+    """Faces as triangles; polygons become fans. Bodies of triangles are read by
+    ranges, others by one task."""
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, schema: T.StructType) -> None:
+        self.path, self.schema, self.layout = path, schema, ply_triangles(path)
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def partitions(self) -> list[Range]:
+        n = self.layout.count if self.layout else 0
+        return [Range(a, min(a + SPLIT, n)) for a in range(0, n, SPLIT)] or [Range(0, 0)]
+
+    def read(self, partition: Range) -> Iterator[tuple | pa.RecordBatch]:
+        if self.layout:
+            lay = self.layout
+            with opened(self.path) as f:
+                for a in range(partition.start, partition.stop, 65536):
+                    n = min(65536, partition.stop - a)
+                    f.seek(lay.offset + a * lay.dtype.itemsize)
+                    rec = np.frombuffer(f.read(n * lay.dtype.itemsize), lay.dtype, n)
+                    if (rec["n"] != 3).any():
+                        raise ValueError(f"faces of two corners or fewer: {self.path}")
+                    yield _columns(self.schema, [np.arange(a, a + n), *rec["i"].astype(np.int64).T])
+            return
         fid = 0
         for c in ply_faces(self.path):
             for k in range(1, len(c) - 1):
@@ -273,38 +334,39 @@ class StlReader(DataSourceReader):
 
     record = np.dtype([("n", "<f4", 3), ("v", "<f4", (3, 3)), ("attr", "<u2")])
 
-    def __init__(self, path: str, element: str) -> None:
-        self.path, self.element = path, element
+    def __init__(self, path: str, element: str, schema: T.StructType) -> None:
+        self.path, self.element, self.schema = path, element, schema
         self.text = stl_is_text(path)
 
     def partitions(self) -> list[Range]:
         if self.text:
             return [Range(0, 0)]
-        n = (os.path.getsize(self.path) - 84) // 50
+        n = (size_of(self.path) - 84) // 50
         return [Range(a, min(a + SPLIT, n)) for a in range(0, n, SPLIT)] or [Range(0, 0)]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if self.text:
             corners: list[list[float]] = []
-            with open(self.path, encoding="ascii", errors="replace") as f:
+            with io.TextIOWrapper(opened(self.path), encoding="ascii", errors="replace") as f:
                 for line in f:
                     word = line.split()
                     if word[:1] == ["vertex"]:
                         corners.append([float(x) for x in word[1:4]])
-            v, first = np.array(corners, float).reshape(-1, 3, 3), 0
-        else:
-            with open(self.path, "rb") as f:
-                f.seek(84 + 50 * partition.start)
-                n = partition.stop - partition.start
-                v, first = np.frombuffer(f.read(50 * n), self.record, n)["v"].astype(float), partition.start
-        for k, t in enumerate(v.tolist(), first):
-            if self.element == "triangle":
-                yield (k, *t[0], *t[1], *t[2])
-            elif self.element == "face":
-                yield k, 3 * k, 3 * k + 1, 3 * k + 2
-            else:
-                for c in range(3):
-                    yield (3 * k + c, *t[c])
+            yield self._batch(np.array(corners, float).reshape(-1, 3, 3), 0)
+            return
+        with opened(self.path) as f:
+            f.seek(84 + 50 * partition.start)
+            for a in range(partition.start, partition.stop, 65536):
+                n = min(65536, partition.stop - a)
+                yield self._batch(np.frombuffer(f.read(50 * n), self.record, n)["v"].astype(float), a)
+
+    def _batch(self, v: np.ndarray, first: int) -> pa.RecordBatch:
+        fid = np.arange(first, first + len(v))
+        if self.element == "triangle":
+            return _columns(self.schema, [fid, *v.reshape(len(v), 9).T])
+        if self.element == "face":
+            return _columns(self.schema, [fid, 3 * fid, 3 * fid + 1, 3 * fid + 2])
+        return _columns(self.schema, [np.arange(3 * first, 3 * (first + len(v))), *v.reshape(-1, 3).T])
 
 
 @dataclass
@@ -313,15 +375,17 @@ class Body(WriterCommitMessage):
     count: int
 
 
-class BodyWriter(DataSourceWriter):
+class BodyWriter(DataSourceArrowWriter):
     """Each task writes its rows in a folder beside the target; the commit puts
     them together in partition order."""
 
     def __init__(self, path: str, schema: T.StructType, overwrite: bool) -> None:
         self.path, self.schema, self.overwrite = path, schema, overwrite
         self.parts = f"{path}._parts_{uuid.uuid4().hex[:8]}"
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
-        if os.path.exists(path) and not overwrite:
+        files, at = placed(path)
+        if "/" in at.rstrip("/"):
+            files.create_dir(at.rpartition("/")[0], recursive=True)
+        if files.get_file_info(at).type != pafs.FileType.NotFound and not overwrite:
             raise FileExistsError(path)
 
     names = {v: k for k, v in RENAMED.items()}
@@ -337,44 +401,44 @@ class BodyWriter(DataSourceWriter):
                 out.append((f.name, code[kind], 1))
         return out
 
-    def write(self, rows: Iterator[T.Row]) -> Body:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Body:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        Path(self.parts).mkdir(parents=True, exist_ok=True)
+        files, folder = placed(self.parts)
+        files.create_dir(folder, recursive=True)
         part = f"{self.parts}/{context.partitionId():08d}-{context.attemptNumber()}"
         count = 0
-        with open(part, "wb") as f:
-            block: list = []
-            for r in rows:
-                block.append(r)
-                if len(block) == 65536:
-                    f.write(self.encode(block))
-                    count, block = count + len(block), []
-            f.write(self.encode(block))
-            count += len(block)
+        with files.open_output_stream(placed(part)[1]) as f:
+            for batch in batches:
+                f.write(self.encode(batch))
+                count += len(batch)
         return Body(part, count)
 
-    def records(self, rows: list, columns: list[tuple[str, str, int]]) -> np.ndarray:
-        out = np.zeros(len(rows), np.dtype([(n, "<" + c) for n, c, _ in columns]))
-        for n, _, _ in columns:
-            out[n] = [r[n] for r in rows]
+    def records(self, batch: pa.RecordBatch, columns: list[tuple[str, str, int]]) -> np.ndarray:
+        """Rows as packed records; a null is 0, or NaN in floats."""
+        out = np.zeros(len(batch), np.dtype([(n, "<" + c) for n, c, _ in columns]))
+        for n, c, _ in columns:
+            v = batch.column(batch.schema.get_field_index(n))
+            out[n] = np.asarray(v.fill_null(float("nan") if c[0] == "f" else 0))
         return out
 
     def commit(self, messages: list[Body | None]) -> None:
         bodies = sorted((m for m in messages if m), key=lambda m: m.path)
         done = f"{self.parts}.whole"
-        with open(done, "wb") as out:
+        with placed(done)[0].open_output_stream(placed(done)[1]) as out:
             out.write(self.header(sum(b.count for b in bodies)))
             for b in bodies:
-                with open(b.path, "rb") as f:
-                    shutil.copyfileobj(f, out)
+                with opened(b.path) as f:
+                    shutil.copyfileobj(f, out, 1 << 24)
             out.write(self.footer())
-        os.replace(done, self.path)
-        shutil.rmtree(self.parts, ignore_errors=True)
+        moved(done, self.path)
+        self.abort(messages)
 
     def abort(self, messages: list[Body | None]) -> None:
-        shutil.rmtree(self.parts, ignore_errors=True)
+        files, folder = placed(self.parts)
+        if files.get_file_info(folder).type == pafs.FileType.Directory:
+            files.delete_dir(folder)
 
     def header(self, count: int) -> bytes:
         raise NotImplementedError
@@ -382,7 +446,7 @@ class BodyWriter(DataSourceWriter):
     def footer(self) -> bytes:
         return b""
 
-    def encode(self, rows: list) -> bytes:
+    def encode(self, batch: pa.RecordBatch) -> bytes:
         raise NotImplementedError
 
 
@@ -399,10 +463,9 @@ class PlyWriter(BodyWriter):
         lines += [f"property {word[c]} {self.names.get(n, n)}" for n, c, _ in self.columns()]
         return ("\n".join([*lines, "end_header"]) + "\n").encode()
 
-    def encode(self, rows: list) -> bytes:
-        if self.text:
-            return "".join(" ".join(repr(r[n]) for n, _, _ in self.columns()) + "\n" for r in rows).encode()
-        return self.records(rows, self.columns()).tobytes()
+    def encode(self, batch: pa.RecordBatch) -> bytes:
+        out = self.records(batch, self.columns())
+        return "".join(" ".join(map(repr, r)) + "\n" for r in out.tolist()).encode() if self.text else out.tobytes()
 
 
 class PcdWriter(BodyWriter):
@@ -422,10 +485,10 @@ class StlWriter(BodyWriter):
     def header(self, count: int) -> bytes:
         return b"binary triangles".ljust(80, b" ") + struct.pack("<I", count)
 
-    def encode(self, rows: list) -> bytes:
-        out = np.zeros(len(rows), StlReader.record)
-        if rows:
-            v = np.array([[r[c] for c in CORNERS] for r in rows], float).reshape(-1, 3, 3)
+    def encode(self, batch: pa.RecordBatch) -> bytes:
+        out = np.zeros(len(batch), StlReader.record)
+        if len(batch):
+            v = np.stack([np.asarray(batch.column(batch.schema.get_field_index(c)), float) for c in CORNERS], 1).reshape(-1, 3, 3)
             n = np.cross(v[:, 1] - v[:, 0], v[:, 2] - v[:, 0])
             size = np.linalg.norm(n, axis=1, keepdims=True)
             out["v"], out["n"] = v, n / np.where(size > 0, size, 1)
@@ -439,13 +502,13 @@ class PlySource(DataSource):
 
     @property
     def path(self) -> str:
-        return local(self.options["path"])
+        return self.options["path"]
 
     def schema(self) -> T.StructType | str:
         return FACE_SCHEMA if self.options.get("element") == "face" else ply_vertices(self.path).schema()
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return PlyFaceReader(self.path) if self.options.get("element") == "face" else RecordReader(ply_vertices(self.path), schema)
+        return PlyFaceReader(self.path, schema) if self.options.get("element") == "face" else RecordReader(ply_vertices(self.path), schema)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
         out = PlyWriter(self.path, schema, overwrite)
@@ -480,7 +543,7 @@ class StlSource(PlySource):
         return {"triangle": TRIANGLE_SCHEMA, "face": FACE_SCHEMA}.get(self.options.get("element", "triangle"), "vid bigint, x double, y double, z double")
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return StlReader(self.path, self.options.get("element", "triangle"))
+        return StlReader(self.path, self.options.get("element", "triangle"), schema)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
         return StlWriter(self.path, schema, overwrite)
@@ -556,21 +619,24 @@ def write_mesh_ply(vertices: DataFrame, faces: DataFrame, path: str) -> None:
     ordered.selectExpr("cast(i0 as int) i0", "cast(i1 as int) i1", "cast(i2 as int) i2").write.format("pcd").mode("overwrite").save(corners)
     lay = pcd_layout(corners)
     form, elements, offset = ply_header(body)
-    head = Path(body).read_bytes()[:offset].replace(b"end_header\n", f"element face {lay.count}\nproperty list uchar int vertex_indices\nend_header\n".encode())
-    with open(f"{path}._whole", "wb") as f:
+    with opened(body) as f:
+        head = f.read(offset)
+    head = head.replace(b"end_header\n", f"element face {lay.count}\nproperty list uchar int vertex_indices\nend_header\n".encode())
+    files = placed(path)[0]
+    with files.open_output_stream(placed(f"{path}._whole")[1]) as f:
         f.write(head)
-        with open(body, "rb") as v:
+        with opened(body) as v:
             v.seek(offset)
-            shutil.copyfileobj(v, f)
-        with open(corners, "rb") as c:
+            shutil.copyfileobj(v, f, 1 << 24)
+        with opened(corners) as c:
             c.seek(lay.offset)
             while chunk := c.read(12 * 65536):
                 rec = np.zeros(len(chunk) // 12, np.dtype([("n", "u1"), ("i", "<i4", 3)]))
                 rec["n"], rec["i"] = 3, np.frombuffer(chunk, "<i4").reshape(-1, 3)
                 f.write(rec.tobytes())
-    os.replace(f"{path}._whole", path)
-    os.remove(body)
-    os.remove(corners)
+    moved(f"{path}._whole", path)
+    for used in (body, corners):
+        files.delete_file(placed(used)[1])
 
 
 def read_cloud_or_mesh(spark: SparkSession, path: str, samples: int, seed: int = 42) -> DataFrame:

@@ -101,3 +101,18 @@ def test_programs(spark, tmp_path):
     pipelines.cloud_to_stl(spark, source, str(tmp_path / "s.stl"), voxel=0.2, margin=0.4)
     pipelines.stl_to_cloud(spark, str(tmp_path / "s.stl"), str(tmp_path / "out"), voxel=0.1, low=1000, high=2000)
     assert sorted(q.name for q in (tmp_path / "out").iterdir()) == ["cloud_10cm.pcd", "cloud_10cm.ply", "mesh.ply"]
+
+
+def test_uris_and_ranges_of_faces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(formats, "SPLIT", 7)
+    c = cloud(spark, random_points(60, 50)).withColumnRenamed("pid", "vid")
+    f = spark.range(20).selectExpr("id as fid", "3 * id as i0", "3 * id + 1 as i1", "3 * id + 2 as i2")
+    path = f"file://{tmp_path}/sub/mesh.ply"
+    formats.write_mesh_ply(c, f, path)
+    assert formats.ply_triangles(path).count == 20
+    v, g = formats.read_mesh(spark, path)
+    assert sorted(map(tuple, g.collect())) == sorted(map(tuple, f.collect())) and v.count() == 60
+    formats.write_stl(v, g, f"file://{tmp_path}/mesh.stl")
+    assert formats.read_mesh(spark, f"file://{tmp_path}/mesh.stl")[1].count() == 20
+    with pytest.raises(Exception, match="No such file|missing.ply|FileNotFound"):
+        formats.read_cloud(spark, f"file://{tmp_path}/missing.ply")
