@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from pointloom.llm import mixing, quality_rules
 
-from .helpers import ODD, clashing, frame, words
+from .helpers import NAMES, ODD, clashing, frame, words
 from .test_near_dedup import brute
 
 
@@ -86,11 +86,13 @@ def test_stages_keep_columns_and_take_odd_rows(spark, tmp_path):
     rows, labels = corpus(400)
     docs = clashing(frame(spark, rows + [(None if i is None else i + 10_000, *rest) for i, *rest in ODD]))
     tables(spark, tmp_path, docs, labels)
-    columns = docs.columns
+    kinds = docs.dtypes
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == columns
-        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert docs.dtypes == kinds
+        rows = docs.collect()
+        assert len(rows) > 200 and all(r[n] == "clash" for r in rows for n in NAMES)
+        docs = spark.createDataFrame(rows, docs.schema)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0
     assert docs.where(F.col("doc_id") == 10_007).count() <= 1
 
