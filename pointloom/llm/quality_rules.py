@@ -124,11 +124,10 @@ def labelled(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("__good"))
 
 
-def calibrate(scored: DataFrame, labels: DataFrame, stratum: str = "lang", grid: dict = GRID, risk: float = RISK, delta: float = DELTA, docs: DataFrame | None = None) -> Cutoffs:
+def calibrate(scored: DataFrame, labels: DataFrame, stratum: str = "lang", grid: dict = GRID, risk: float = RISK, delta: float = DELTA) -> Cutoffs:
     """Cutoffs by stratum and rule, from the labelled rows of `scored`
-    (doc_id, stratum, struct f). `docs` has the strata of all documents, where
-    `scored` has labelled ones only. A stratum without documents labelled bad
-    tests the sequence of all strata's."""
+    (doc_id, stratum, struct f). A stratum without documents labelled bad tests
+    the sequence of all strata's."""
     known = labelled(labels)
     held = scored.where("doc_id is not null").join(known, "doc_id")
     key = F.coalesce(stratum, F.lit(""))
@@ -146,7 +145,7 @@ def calibrate(scored: DataFrame, labels: DataFrame, stratum: str = "lang", grid:
     if not strata:
         return found
     # the pooled test takes the place of a small stratum's own, or is one more
-    tests = len(strata) + (not (scored if docs is None else docs).where(~key.isin(list(strata))).isEmpty())
+    tests = len(strata) + (not scored.where(~key.isin(list(strata))).isEmpty())
     safe = lambda wrong, n: within_risk(wrong, n, risk, delta / tests)
     named = lambda step: {r: sorted(cuts)[i] for (r, cuts), i in zip(grid.items(), step or lengths) if i < len(cuts)}
     general = sequence(both["bad"], both["design"], lengths)
@@ -181,12 +180,6 @@ def fit(docs: DataFrame, labels: DataFrame, **options) -> tuple[DataFrame, Cutof
     return scored, calibrate(scored, labels, **options)
 
 
-def fit_labelled(docs: DataFrame, labels: DataFrame, **options) -> Cutoffs:
-    """The cutoffs alone: features are computed of labelled documents only."""
-    some = docs.join(labelled(labels).select("doc_id"), "doc_id", "left_semi").select("doc_id", "lang", features().alias("f"))
-    return calibrate(stored(some, "features"), labels, docs=docs, **options)
-
-
 def quality_verdicts(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """(doc_id, lang, broken, is_kept) of every row of docs.
 
@@ -206,9 +199,11 @@ def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that break no rule, all columns as given, whatever
     their names; which rows, and what nulls, empty and long texts, ties,
     repeated rows and empty tables give, is as in quality_verdicts."""
-    cutoffs = fit_labelled(docs, labels, **options)
+    # stored with their features: one pass over the texts, and none of them is shuffled
     (f,) = fresh(docs, "f")
-    return docs.withColumn(f, features()).where(F.size(broken(cutoffs, "lang", f)) == 0).select(*map(column, docs.columns))
+    scored = stored(docs.withColumn(f, features()), "scored")
+    cutoffs = calibrate(scored.select("doc_id", "lang", F.col(f).alias("f")), labels, **options)
+    return scored.where(F.size(broken(cutoffs, "lang", f)) == 0).select(*map(column, docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

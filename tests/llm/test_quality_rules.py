@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from pointloom.llm.features import NAMES, compute
-from pointloom.llm.quality_rules import calibrate, certified, fit, fit_labelled, quality_filter, quality_verdicts, sequence, upper_bound, within_risk
+from pointloom.llm.quality_rules import calibrate, certified, fit, quality_filter, quality_verdicts, sequence, upper_bound, within_risk
 
 from .helpers import ODD, clashing, frame, untouched, words
 
@@ -120,7 +120,6 @@ def test_odd_rows(spark):
     kept = quality_filter(docs, lab)
     assert kept.columns == docs.columns and kept.where("text is null").count() == 2
     untouched(clashing(docs), quality_filter(clashing(docs), lab), kept.count())
-    assert fit_labelled(docs, lab) == fit(docs, lab)[1]
     assert quality_filter(docs.limit(0), lab).count() == 0
     assert quality_filter(docs, lab.limit(0)).count() == docs.count()
     assert calibrate(fit(docs.limit(0), lab)[0], lab) == {}
