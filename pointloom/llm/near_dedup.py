@@ -164,9 +164,13 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
 
 @F.arrow_udf(T.DoubleType())
 def exact_jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
+    # a hub stands in many pairs: its set is made once a batch
+    a, b = a.dictionary_encode(), b.dictionary_encode()
+    left, right = _sets(a.dictionary), _sets(b.dictionary)
     out = []
-    for x, y in zip(_sets(a), _sets(b)):
-        common = len(np.intersect1d(x, y, assume_unique=True))
+    for i, j in zip(a.indices.to_pylist(), b.indices.to_pylist()):
+        x, y = sorted((left[i], right[j]), key=len)
+        common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
         out.append(common / max(1, len(x) + len(y) - common))
     return pa.array(out, pa.float64())
 
