@@ -133,3 +133,35 @@ def test_depth(spark):
 def test_yaw():
     assert metrics.yaw(None, None, None) == 0.0
     assert abs(abs(metrics.yaw(1.0, 1.0, 1.0)) % np.pi - np.pi / 4) < 1e-9 or abs(abs(metrics.yaw(1.0, 1.0, 1.0)) - 3 * np.pi / 4) < 1e-9
+
+
+def test_a_radius_that_holds_everything(spark, monkeypatch):
+    """The pairs of a dense cloud within a radius are never joined."""
+    from pyspark.sql import functions as F
+
+    widths, whole = [], spatial.answering
+
+    def watched(cloud, prefix, size):
+        widths.append(cloud.select(F.max(size)).first()[0])
+        return whole(cloud, prefix, size)
+
+    monkeypatch.setattr(spatial, "answering", watched)
+    p = np.repeat(np.random.default_rng(13).random((60, 3)), 5, 0)
+    d = distances(p, p[::2])
+    got = spatial.nearest_within(cloud(spark, p), cloud(spark, p[::2]), 50.0).toPandas().sort_values("pid")
+    assert np.allclose(np.sqrt(got.d2), d.min(1)) and (got.nid == d.argmin(1)).all()
+    assert pids(filters.radius_outliers(cloud(spark, p), 16, 50.0)) == list(range(300))
+    assert widths and max(widths) < 50.0
+
+
+def test_points_at_one_place(spark, monkeypatch):
+    """Many points at few places take few rounds and keep ties by id."""
+    rounds, kept = [], spatial.stored
+    monkeypatch.setattr(spatial, "stored", lambda df, name: rounds.append(name) or kept(df, name))
+    p = np.repeat(random_points(20, 14), 40, 0)
+    q = random_points(15, 15)
+    d = distances(q, p)
+    got = spatial.knn(cloud(spark, q), cloud(spark, p), 50).toPandas().sort_values(["pid", "rank"])
+    want = np.array([sorted(range(len(p)), key=lambda j: (round(row[j], 9), j))[:50] for row in d])
+    assert (got.nid.to_numpy().reshape(15, 50) == want).all()
+    assert rounds.count("left") < 12
